@@ -5,17 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from almoner.llm import audio
+from almoner.llm import audio, langid, linededup, mixing, packing, quality
+from almoner.llm.common import fold
+
+#: Tokenizer of the packing query; None: the one that the public tokenizers' package names.
+TOKENIZER: str | None = None
+
+
+def tokenizer_path() -> str:
+    if TOKENIZER:
+        return TOKENIZER
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.training(docs))
+    return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(table(spark, sf_dir, "documents"))
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return audio.audio_features(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_audio_features,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_source_mixing, op4_language_id, op7_packing, op9_line_dedup, op10_audio_features)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": mixing.ORACLE, "op9_line_dedup": linededup.ORACLE}
