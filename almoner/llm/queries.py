@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almoner.llm import audio, langid, linededup, mixing, packing, quality
+from almoner.llm import archive, audio, bagminhash, itq, langid, linededup, lm, mixing, packing, quality
 from almoner.llm.common import fold
 
 #: Tokenizer of the packing query; None: the one that the public tokenizers' package names.
@@ -30,6 +30,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.links(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,10 +44,22 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -53,8 +69,20 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_source_mixing, op4_language_id, op7_packing, op9_line_dedup, op10_audio_features)}
+    every = (
+        op1_quality_classifier,
+        op2_embedding_near_dedup,
+        op3_source_mixing,
+        op4_language_id,
+        op5_minhash_near_dedup,
+        op6_arc_to_warc,
+        op7_packing,
+        op8_lm_scoring,
+        op9_line_dedup,
+        op10_audio_features,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE, "op9_line_dedup": linededup.ORACLE}
+    return {"op3_source_mixing": mixing.ORACLE, "op6_arc_to_warc": archive.ORACLE, "op9_line_dedup": linededup.ORACLE}
