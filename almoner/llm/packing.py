@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,17 @@ WINDOW = 32
 END = 2
 #: Queues; more sources than this share queues by hash.
 QUEUES = 1000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 
 TOKENS_SCHEMA = "doc_id long, queue string, n long, part long, start long, ids binary"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII letters and then ASCII signs, without apostrophes (contractions) and bars (special tokens).
+_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{}~]+)")
 
 
 class _Words(dict):
-    """Words (runs between ASCII white space) to their ids as little-endian 16-bit bytes; emptied when it is full."""
+    """Numbers of words (runs between ASCII white space), and each word's ids in flat arrays; emptied when it is full."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,28 +54,76 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
-        self.special = any(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.last = np.zeros(1 << 16, bool)  # ids that end a word
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.empty()
+
+    def empty(self) -> None:
+        """Only the end is known: the empty word, number 0."""
+        self.clear()
+        self[b""] = 0
+        self.parts: dict[bytes, bytes] = {}
+        self.new: list[bytes] = []
+        self.flat, self.start, self.size = np.array([END], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Letters followed by punctuation are two pre-tokens: their ids are put together from the parts'."""
-        split = {w: m.groups() for w in words if b"<|" not in w and b"|>" not in w and (m := _PLAIN.fullmatch(w))}
-        parts = [p for p in {x.lower() for g in split.values() for x in g} | (words - split.keys()) if p not in self]
-        for p, ids in zip(parts, self.encode(parts), strict=True):
-            self[p] = ids
-        for w, (a, b) in split.items():
-            self[w] = self[a.lower()] + self[b]
+    def encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters, each one pre-token, many at once: a word's last id is one that ends words."""
+        out = []
+        for lo in range(0, len(words), 64 * 4096):
+            part = words[lo : lo + 64 * 4096]
+            groups = [part[i : i + 64] for i in range(0, len(part), 64)]
+            for own, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode("utf-8", "replace") for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u2")
+                ends = np.flatnonzero(self.last[ids])
+                if len(ends) != len(own):  # a letter whose lower case is no letter
+                    out += self.encode(own)
+                else:
+                    flat, cuts = ids.tobytes(), [0, *(ends * 2 + 2).tolist()]
+                    out += [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def learn(self) -> None:
+        """Ids of the new words. Letters followed by signs are two pre-tokens: their ids are put together from the parts'."""
+        match, parts = _PLAIN.fullmatch, self.parts
+        split = [(m[1].lower(), m[2]) if (m := match(w)) else (w, b"") for w in self.new]
+        letters, other = set(), {b for _, b in split if b and b not in parts}
+        for a, b in split:
+            if a not in parts:
+                (letters if b or a.isalpha() or a.decode("utf-8", "replace").isalpha() else other).add(a)
+        for own, encode in ((list(letters), self.encode_letters), (list(other), self.encode)):
+            parts.update(zip(own, encode(own), strict=True))
+        ids = [parts[a] + parts[b] if b else parts[a] for a, b in split]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u2")])
+        self.new = []
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids and the end as little-endian 16-bit bytes."""
+        if not texts:
+            return []
         if len(self) > CACHED_WORDS:
-            self.clear()
+            self.empty()
         words = [t.split() for t in texts]
-        if new := set().union(*words) - self.keys():
-            self.learn(new)
-        end = END.to_bytes(2, "little")
-        return [b"".join(map(self.__getitem__, w)) + end for w in words]
+        for w in words:
+            w.append(b"")
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
+        if self.new:
+            self.learn()
+        size = self.size[at]
+        flat = self.flat[np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())].astype("<u2").tobytes()
+        cuts = [0, *(2 * np.cumsum(np.add.reduceat(size, np.cumsum(count) - count))).tolist()]
+        return [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(1)
