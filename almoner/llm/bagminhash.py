@@ -11,7 +11,8 @@ Documents of equal token sequences are one node.  Bands of registers propose lin
 id and its members; then, between groups not joined yet, the best partner by signature; then every remaining pair of
 groups' members in a common bucket whose signatures allow the similarity.  Every link is verified by the exact multiset
 Jaccard similarity, and classes are the components.  Groups that hold together are thus joined by about as many
-comparisons as they have members, and no pair of a bucket is left out because the bucket is large.
+comparisons as they have members, and no pair of a bucket is left out because the bucket is large.  Joins whose small side grows with the corpus are merge joins at any
+size.
 
 Defined results: tokens are runs of bytes other than ASCII white space, A-Z lower-cased; a text of one to four words is
 one shingle; a null or empty text, or one of white space, links with nothing; rows that repeat a doc_id are one document;
@@ -188,13 +189,13 @@ def _cross(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, best_only: b
     With ``best_only``, for each two labels in a block, every node of the one with fewer nodes there and its best partner.
     A bucket of over BLOCK nodes is cut into blocks of pairs of chunks.
     """
-    named = buckets.join(labels, buckets.node == labels.id, "left").select("band", "key", "node", F.coalesce("component", "node").alias("label"))
+    named = buckets.join(labels.hint("merge"), buckets.node == labels.id, "left").select("band", "key", "node", F.coalesce("component", "node").alias("label"))
     mixed = written(named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "mixed-buckets")
     if mixed.isEmpty():
         return named.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     rows = named.join(small(mixed), ["band", "key"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     rows = rows.select("band", "key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("second"), "node", "label")
-    rows = rows.join(nodes.select("node", "sig"), "node")
+    rows = rows.join(nodes.select("node", "sig").hint("merge"), "node")
     dealt = rows.select("band", "key", "lo", "hi", "second", "node", "label", "sig").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
 
     def pairs(t: pa.Table) -> np.ndarray:
@@ -263,8 +264,8 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
             yield pa.record_batch([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     texts = _texts(docs, pairs)
-    left = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
-    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
+    left = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}).hint("merge"), "a")
+    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}).hint("merge"), "b")
     return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
 
 
@@ -273,10 +274,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sketch = sketches(docs)
     known = sketch.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     prints = known.groupBy("print").agg(F.min("doc_id").alias("node"))
-    nodes = written(prints.join(known.select(F.col("doc_id").alias("node"), "print", "bands", "sig"), ["node", "print"]).select("node", "print", "bands", "sig"), "nodes")
+    nodes = written(prints.join(known.select(F.col("doc_id").alias("node"), "print", "bands", "sig"), ["node", "print"]).select("node", "print", "bands", "sig").dropDuplicates(["node", "print"]), "nodes")
     buckets = written(_buckets(nodes), "buckets")
     heads = buckets.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
-    tested = written(buckets.join(heads, ["band", "key"]).select("a", F.col("node").alias("b")).filter("a <> b").dropDuplicates(), "pairs")
+    tested = written(buckets.join(heads.hint("merge"), ["band", "key"]).select("a", F.col("node").alias("b")).filter("a <> b").dropDuplicates(), "pairs")
     links = verified(docs, tested, similarity)
     labels = connected(links)
     for best_only in (True, False):
@@ -290,7 +291,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         labels = connected(links)
     of_print = nodes.select("print", "node").join(labels, nodes.node == labels.id, "left").select("print", F.coalesce("component", "node").alias("class_id"))
     # rows that repeat an id may differ in text: the id then belongs to the smallest of their classes
-    own = sketch.join(of_print, "print", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    own = sketch.join(of_print.hint("merge"), "print", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
