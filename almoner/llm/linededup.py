@@ -116,7 +116,8 @@ def _cut(text: bytes, drop: set[tuple[int, int]], min_chars: int) -> tuple[int,
 
 def _joined(docs: DataFrame, **options: int) -> DataFrame:
     d = drops(docs, **options).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    return docs.join(d, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    # one plan at every size: the list of drops grows with the corpus, so it is never broadcast
+    return docs.join(d.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
 
 
 def _sets(column: pa.Array) -> list[set[tuple[int, int]]]:
