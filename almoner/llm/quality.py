@@ -79,7 +79,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros((SLOTS, DIM))
         for b in batches:
             values = blobs(b.column(0))
-            for lo, hi in chunks(values):
+            for lo, hi in chunks(values, 2 << 20):
                 total += contexts(*slots(values[lo:hi]))
         blocks = [(i, total[i * ROWS_PER_BLOCK : (i + 1) * ROWS_PER_BLOCK]) for i in range(SLOTS // ROWS_PER_BLOCK)]
         blocks = [(i, v.astype(np.float32).tobytes()) for i, v in blocks if v.any()]
