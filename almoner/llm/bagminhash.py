@@ -8,11 +8,11 @@ Processes run only as far as a bound under which all registers are filled with h
 go on to twice that.
 
 Documents of equal token sequences are one node.  Bands of registers propose links: first between each bucket's smallest
-id and its members; then, between groups not joined yet, the best partner by signature; then every remaining pair of
-groups' members in a common bucket whose signatures allow the similarity.  Every link is verified by the exact multiset
-Jaccard similarity, and classes are the components.  Groups that hold together are thus joined by about as many
-comparisons as they have members, and no pair of a bucket is left out because the bucket is large.  Joins whose small side grows with the corpus are merge joins at any
-size.
+id and its members; then each node's best partners by signature in groups it has not joined; what is left, every pair of
+different groups' members in a common bucket whose signatures allow the similarity, is verified inside blocks of the
+bucket, each pair in the first band that it shares, and puts out links only.  Every link is verified by the exact multiset
+Jaccard similarity, and classes are the components.  No step puts out a bucket's pairs, and no pair is left out because a
+bucket is large.  Joins whose small side grows with the corpus are merge joins at any size.
 
 Defined results: tokens are runs of bytes other than ASCII white space, A-Z lower-cased; a text of one to four words is
 one shingle; a null or empty text, or one of white space, links with nothing; rows that repeat a doc_id are one document;
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,9 @@ REGISTERS = BANDS * ROWS
 #: Share of equal registers under which a pair is not verified: 4.5 standard deviations below SIMILARITY.
 LIKELY = 0.65
 #: Documents of a bucket compared by signature in one block.
-BLOCK = 1024
+BLOCK = 512
+#: Partners that a node proposes from a block before all that is left is verified.
+BEST = 2
 #: Ids up to which a list of them is broadcast.
 IDS = 500_000
 
@@ -183,58 +185,92 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "bands").mapInArrow(run, "band int, key long, node long")
 
 
-def _cross(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket but different labels whose signatures allow the similarity.
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one label: (band, key, lo, hi, second, node, label).
 
-    With ``best_only``, for each two labels in a block, every node of the one with fewer nodes there and its best partner.
-    A bucket of over BLOCK nodes is cut into blocks of pairs of chunks.
+    A bucket of over BLOCK nodes is cut into blocks of pairs of chunks lo and hi; second marks the rows of chunk hi.
     """
     named = buckets.join(labels.hint("merge"), buckets.node == labels.id, "left").select("band", "key", "node", F.coalesce("component", "node").alias("label"))
-    mixed = written(named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "mixed-buckets")
-    if mixed.isEmpty():
-        return named.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    rows = named.join(small(mixed), ["band", "key"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("band", "key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("second"), "node", "label")
-    rows = rows.join(nodes.select("node", "sig").hint("merge"), "node")
-    dealt = rows.select("band", "key", "lo", "hi", "second", "node", "label", "sig").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
-
-    def pairs(t: pa.Table) -> np.ndarray:
-        node, label = t["node"].to_numpy(), t["label"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(node), REGISTERS)
-        second = np.array(t["second"].to_pylist())
-        if t["lo"][0].as_py() == t["hi"][0].as_py():
-            second[:] = False
-        found = []
-        names, code, size = np.unique(label, return_inverse=True, return_counts=True)
-        for i in range(len(node)):
-            other = label != label[i]
-            if second.any():
-                other &= second != second[i]
-            near = np.flatnonzero(other)
-            share = (sig[near] == sig[i]).mean(1)
-            near, share = near[share >= LIKELY], share[share >= LIKELY]
-            if best_only and len(near):
-                order = np.argsort(-share, kind="stable")
-                near = near[order[np.unique(label[near[order]], return_index=True)[1]]]
-                near = near[(size[code[near]] > size[code[i]]) | ((size[code[near]] == size[code[i]]) & (label[near] > label[i]))]
-            found.append(np.stack([np.minimum(node[i], node[near]), np.maximum(node[i], node[near])], 1))
-        return np.unique(np.concatenate(found), axis=0)
+    sizes = named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("m"))
+    rows = named.join(sizes.hint("merge"), ["band", "key"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return written(rows.select("band", "key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("second"), "node", "label"), "mixed-buckets")
+
+
+def _likely(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a block the rows of other labels whose signatures allow the similarity, and the share of registers."""
+    label, second = t["label"].to_numpy(), np.array(t["second"].to_pylist())
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(label), REGISTERS)
+    if t["lo"][0].as_py() == t["hi"][0].as_py():
+        second[:] = False
+    across = bool(second.any())
+    for i in range(len(label)):
+        near = np.flatnonzero((label != label[i]) & (second != second[i]) if across else label != label[i])
+        share = (sig[near] == sig[i]).mean(1)
+        yield i, near[share >= LIKELY], share[share >= LIKELY]
+
+
+def _best(t: pa.Table) -> list[tuple[int, int]]:
+    node, out = t["node"].to_numpy(), set()
+    for i, near, share in _likely(t):
+        for j in near[np.argsort(-share, kind="stable")[:BEST]]:
+            out.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return sorted(out)
+
+
+def _links(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between the block's labels, likeliest first; labels that a link has joined need no other."""
+    node, band = t["node"].to_numpy(), t["band"][0].as_py()
+    keys = np.frombuffer(b"".join(t["bands"].to_pylist()), np.int64).reshape(len(node), BANDS)
+    texts, bags, out = blobs(t["text"].combine_chunks()), {}, []
+    label = t["label"].to_pylist()
+    root = {x: x for x in label}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def bag(i: int) -> np.ndarray:
+        if i not in bags:
+            bags[i] = shingles(words(texts[i]))
+        return bags[i]
+
+    found = []
+    for i, near, share in _likely(t):
+        on = near > i
+        near, share = near[on], share[on]
+        new = ~(keys[near, :band] == keys[i, :band]).any(1)
+        found += [(-s, i, j) for s, j in zip(share[new].tolist(), near[new].tolist(), strict=True)]
+    for _, i, j in sorted(found):
+        if find(label[i]) != find(label[j]) and min(len(bag(i)), len(bag(j))) >= similarity * max(len(bag(i)), len(bag(j))) and jaccard(bag(i), bag(j)) >= similarity:
+            root[find(label[i])] = find(label[j])
+            out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return out
+
+
+def _by_block(rows: DataFrame, pairs: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """Rows (a, b) that ``pairs`` finds in each block."""
+    block = ["band", "key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back: pa.Table | None = None
+
+        def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if t.num_rows > 1 and (p := pairs(t)):
+                yield pa.record_batch([pa.array([a for a, _ in p], pa.int64()), pa.array([b for _, b in p], pa.int64())], names=["a", "b"])
+
         for b in batches:
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([back, t]).combine_chunks() if back is not None else t
-            code = np.stack([t[c].to_numpy().astype(np.int64) for c in ("band", "key", "lo", "hi")], 1)
+            code = np.stack([t[c].to_numpy().astype(np.int64) for c in block], 1)
             edge = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist()]
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if hi - lo > 1 and len(p := pairs(t.slice(lo, hi - lo))):
-                    yield pa.record_batch([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+                yield from found(t.slice(lo, hi - lo))
             back = t.slice(edge[-1])
-        if back is not None and back.num_rows > 1 and len(p := pairs(back)):
-            yield pa.record_batch([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+        if back is not None:
+            yield from found(back)
 
-    return dealt.mapInArrow(run, "a long, b long").dropDuplicates()
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").filter("a <> b").dropDuplicates()
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -280,15 +316,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tested = written(buckets.join(heads.hint("merge"), ["band", "key"]).select("a", F.col("node").alias("b")).filter("a <> b").dropDuplicates(), "pairs")
     links = verified(docs, tested, similarity)
     labels = connected(links)
-    for best_only in (True, False):
-        pairs = written(_cross(buckets, labels, nodes, best_only).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if best_only:
-                continue
-            break
-        links = links.unionByName(verified(docs, pairs, similarity))
-        tested = tested.unionByName(pairs)
-        labels = connected(links)
+    mixed = _mixed(buckets, labels)
+    near = _by_block(mixed.join(nodes.select("node", "sig").hint("merge"), "node"), _best)
+    links = links.unionByName(verified(docs, written(near.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs"), similarity))
+    labels = connected(links)
+    mixed = _mixed(buckets, labels)
+    texts = _texts(docs, mixed.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    rest = mixed.join(nodes.select("node", "sig", "bands").hint("merge"), "node").join(texts.hint("merge"), "node")
+    links = links.unionByName(written(_by_block(rest, lambda t: _links(t, similarity)), "links"))
+    labels = connected(links)
     of_print = nodes.select("print", "node").join(labels, nodes.node == labels.id, "left").select("print", F.coalesce("component", "node").alias("class_id"))
     # rows that repeat an id may differ in text: the id then belongs to the smallest of their classes
     own = sketch.join(of_print.hint("merge"), "print", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

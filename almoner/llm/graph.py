@@ -11,18 +11,17 @@ from almoner.llm.common import written
 def connected(edges: DataFrame) -> DataFrame:
     """From rows (a, b): rows (id, component) for every id in an edge, component being the smallest id reachable.
 
-    A round takes each node to the smallest label among its neighbours and then to its label's label, so that the number
-    of rounds grows with the logarithm of a component's width.  Every step is a join or a partial aggregate; nothing
-    comes to the driver but a count.
+    A round takes each node to the smallest of its label, its neighbours' labels and its label's label, so that the
+    number of rounds grows with the logarithm of a component's width.  Every step is a join or a partial aggregate, a
+    round is one written table, and nothing comes to the driver but whether a label has changed.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").dropDuplicates(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        stepped = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        stepped = written(stepped, "labels-step")
-        up = stepped.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        jumped = written(stepped.join(up, "component").select("id", "was", F.least("component", "up").alias("component")), "labels")
-        labels = jumped.select("id", "component")
-        if jumped.filter("was <> component").isEmpty():
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        stepped = labels.join(near, labels.id == near.a).join(up, "component").select("id", F.col("component").alias("was"), F.least("component", "near", "up").alias("component"))
+        stepped = written(stepped, "labels")
+        labels = stepped.select("id", "component")
+        if stepped.filter("was <> component").isEmpty():
             return labels
