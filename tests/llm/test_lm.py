@@ -88,3 +88,32 @@ def test_edge_rows(spark, edge, empty):
     lone = next(i for i in range(100) if held(i))
     got = lm.lm_scores(spark.createDataFrame([(lone, "a b"), (lone, None)], "doc_id long, text string")).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
+
+
+def test_pairs_of_rare_words_count(spark, monkeypatch):
+    """Backoff scores by definition, over more words than any fixed number of states, in several blocks and buckets."""
+    rows = [(i, prose(i // 2, 60, 5000) + " rare pair" * (i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    train = [words(t) for i, t in rows if not held(i)]
+    c, pairs = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([lm.END, *w], w, strict=False))
+    n, v = sum(c.values()), len(c)
+    assert v > 2000
+    held_back = lambda counts: lm.discount(*(sum(x == k for x in counts.values()) for k in (1, 2)))
+    d1, d2 = held_back(c), held_back(pairs)
+    p1 = lambda x: (c[x] - d1 if c[x] else d1 * v) / n
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+
+    def p2(a, b):
+        if not c[a] or pairs[a, b]:
+            return (pairs[a, b] - d2) / c[a] if c[a] else p1(b)
+        return d2 * len(after[a]) / c[a] / (1 - sum(map(p1, after[a]))) * p1(b)
+
+    want = {i: sum(math.log10(p2(a, b)) for a, b in zip([lm.END, *words(t)], words(t), strict=False)) for i, t in rows}
+    for tokens, hot in ((10**6, 1000), (500, 1000), (500, 20)):
+        monkeypatch.setattr(lm, "BUCKET_TOKENS", tokens)
+        monkeypatch.setattr(lm, "HOT", hot)
+        monkeypatch.setattr(lm, "BLOCK_TOKENS", 1500)
+        got = {r.doc_id: r.score for r in lm.lm_scores(df).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
