@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -39,6 +40,27 @@ def test_language_rejection_and_edges(spark, docs, edge, empty):
     assert langid.fit(empty) is None and {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"} and langid.predict(empty, model).isEmpty()
 
 
+def test_letter_junk_and_unlearned_language_are_rejected(spark):
+    """Latin letters of no learned language go; short and long texts of the learned ones stay."""
+    learned = {
+        "en": "the of and to in that is was for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people".split(),
+        "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden will zwischen immer millionen was sagte".split(),
+    }
+    polish = "się nie jest że na do to jak ale po co tak za od już tylko przez czy może są było który która które jego był być ten także jeszcze kiedy wszystko bardzo dlaczego człowiek szczęście źródło życie następnie między".split()
+
+    def say(words, seed, n):
+        return " ".join(random.Random(seed).choices(words, k=n))
+
+    docs = spark.createDataFrame([(i, say(w, f"{k}{i}", 20 + i), k) for i in range(150) for k, w in learned.items()], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    rng = random.Random(5)
+    odd = [base64.b64encode(rng.randbytes(450)).decode(), rng.randbytes(300).hex(), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600)), say(polish, 1, 100)]
+    own = [say(w, 1000 + n, n) for w in learned.values() for n in (1, 2, 5, 10, 30, 100, 300)]
+    got = {r.doc_id: r.rejected for r in langid.predict(spark.createDataFrame(list(enumerate(odd + own)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(odd))] == [True] * len(odd)
+    assert not any(got[i] for i in range(len(odd), len(odd) + len(own)))
+
+
 def test_grams_stay_within_texts():
     a, b = b"Hello, World", b"xyz"
     both = langid.grams([a, b"", b])
