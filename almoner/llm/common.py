@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zlib
@@ -20,10 +23,12 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset and all run in one place."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="almoner-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -64,6 +69,40 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """Names like ``stems`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bound(share: float) -> int:
+    """What a 64-bit hash is at most, for about ``share`` of all values."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
+def sampled(key: str | Column, share: float) -> Column:
+    """True for about ``share`` of the keys, by their hash; all at 1."""
+    return F.xxhash64(key) <= F.lit(bound(share)).cast("long")
+
+
+def tidy() -> None:
+    """Give a Python worker's freed memory back, as it lives on for other tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -9,8 +9,8 @@ selection contains that of every smaller budget.
 
 Defined results: a null text, like an empty one, has size 0; sources are weighed in code-point order, null last and a
 source of its own; a source without words has target 0; equal ids have equal hashes and share their fate; a null id
-hashes as the empty text; repeated rows each count; extra columns pass through, those named as the results are replaced;
-an empty table gives an empty result.
+hashes as the empty text; repeated rows each count; ``take`` returns
+exactly the columns of its input, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almoner.llm.common import small, written
+from almoner.llm.common import col, free, small, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -97,25 +97,27 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
     return sized, thresholds(sized, shares)
 
 
-def copies(rows: DataFrame, cuts: DataFrame, hashed: Column) -> DataFrame:
-    """``rows`` with source_size, target and copies; ``cuts`` is broadcast if it is small, else the join shuffles."""
-    names = [c for c in rows.columns if c not in ("source_size", "target", "copies")]
-    c = small(cuts.select(F.col("source").alias("__s"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), "full", "threshold"))
-    joined = rows.select(*names, hashed.alias("__hash")).join(c, F.col("source").cast("string").eqNullSafe(F.col("__s")))
-    return joined.select(*names, F.col("__size").alias("source_size"), F.col("__target").alias("target"), (F.col("full") + F.when(F.col("__hash") < F.col("threshold"), 1).otherwise(0)).alias("copies"))
+def copies(rows: DataFrame, cuts: DataFrame, hashed: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` joined with their sources' cuts, and source_size, target and copies over that; ``cuts`` is broadcast if it is small, else the join shuffles."""
+    source, size, target, full, threshold, at = free(rows, "__source", "__size", "__target", "__full", "__threshold", "__hash")
+    c = small(cuts.select(F.col("source").alias(source), F.col("source_size").alias(size), F.col("target").alias(target), F.col("full").alias(full), F.col("threshold").alias(threshold)))
+    joined = rows.withColumn(at, hashed).join(c, F.col("source").cast("string").eqNullSafe(F.col(source)))
+    return joined, {"source_size": F.col(size), "target": F.col(target), "copies": F.col(full) + F.when(F.col(at) < F.col(threshold), 1).otherwise(0)}
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     sized, cuts = plan(docs, **options)
-    return copies(sized, cuts, F.col("hash")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    rows, of = copies(sized, cuts, F.col("hash"))
+    return rows.select("doc_id", "size", of["source_size"].alias("source_size"), of["target"].alias("target"), (F.col("size") * of["copies"]).alias("taken"))
 
 
 def take(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
     _, cuts = plan(docs, **options)
-    taken = copies(docs, cuts, hash60("doc_id"))
-    return taken.filter(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows, of = copies(docs, cuts, hash60("doc_id"))
+    (copy,) = free(rows, "__copy")
+    return rows.filter(of["copies"] > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), of["copies"]))).select(*map(col, docs.columns))
 
 
 ORACLE = r"""

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, chunks, fold, written
+from almoner.llm.common import blobs, chunks, fold, sampled, written
 
 SLOTS, DIM = 1 << 15, 32
 WINDOW, NONZERO = 2, 2
@@ -169,7 +169,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "quality", fit
     """Learn from pooled documents whose crc32 fold of 5 is not 0; a larger label table is sampled by hash down to about ``fit_rows``."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).filter(fold("doc_id", 5) != 0)
     rate = min(1.0, fit_rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1e6))
+    known = known.filter(sampled("doc_id", rate))
     got = documents.join(known, "doc_id").select(F.xxhash64("doc_id", F.lit(1)).alias("h"), "y", "v").toArrow()
     order = np.lexsort((np.array(got["y"].to_pylist(), np.int8), np.array(got["h"].to_pylist(), np.int64)))
     x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float32).reshape(-1, FEATURES)
