@@ -2,13 +2,19 @@
 
 Language ID drops the documents it rejects; line dedup takes repeated lines out of the texts; near-dedup keeps the
 smallest doc_id of each class; mixing repeats or drops documents towards its sources' targets; packing puts out pieces
-of sequences.  Every stage but the last returns the columns of its input.
+of sequences.  Every stage but the last returns exactly the columns of its input.
+
+Defined results: a null text, or one without a letter, is rejected by the first stage; a text that loses all its lines is
+empty from there on, links with nothing and has size 0 (so the mix takes it or not by its hash alone); a null source is a
+source of its own; a null doc_id is learned from and hashed as the empty text and never joins a class, and rows that
+repeat a doc_id are one document of which near-dedup keeps one row; ties in language, links or thresholds go as the
+operators' docstrings say; texts of any length are used whole; extra columns of any name pass through the first four
+stages; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from almoner.llm import bagminhash, langid, linededup, mixing, packing
 from almoner.llm.common import scratch_path
@@ -16,8 +22,7 @@ from almoner.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.fit(langid.training(docs)))
-    return found.filter(~F.col("rejected")).select(docs.columns)
+    return langid.accepted(docs, langid.fit(langid.training(docs)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
