@@ -15,8 +15,8 @@ Jaccard similarity, and classes are the components.  No step puts out a bucket's
 bucket is large.  Joins whose small side grows with the corpus are merge joins at any size.
 
 Defined results: tokens are runs of bytes other than ASCII white space, A-Z lower-cased; a text of one to four words is
-one shingle; a null or empty text, or one of white space, links with nothing; rows that repeat a doc_id are one document;
-a null doc_id is below all others and never joins a class; extra columns pass through; an empty table gives an empty
+one shingle; a null or empty text, or one of white space, links with nothing; rows that repeat a doc_id are one document,
+whose texts, if they differ, share a class; a null doc_id is below all others and never joins a class; extra columns pass through; an empty table gives an empty
 result.  Texts of any length are used whole.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, chunks, small, written
+from almoner.llm.common import blobs, chunks, col, free, small, tidy, written
 from almoner.llm.graph import connected
 
 SHINGLE = 5
@@ -73,6 +73,12 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _done() -> None:
+    """At a task's end: what it has cached goes, as its worker lives on."""
+    _HASHES.clear()
+    tidy()
+
+
 def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -170,6 +176,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     [b.column(0)[lo:hi], pa.array(prints, pa.binary()), pa.array([v.tobytes() for v in bands(s)], pa.binary()), pa.array([v.tobytes() for v in short(s)], pa.binary())],
                     names=["doc_id", "print", "bands", "sig"],
                 )
+        _done()
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, print binary, bands binary, sig binary"), "sketches")
 
@@ -196,31 +203,53 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rows.select("band", "key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("second"), "node", "label"), "mixed-buckets")
 
 
-def _likely(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of a block the rows of other labels whose signatures allow the similarity, and the share of registers."""
+def _likely(t: pa.Table, new_only: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a block the rows of other labels whose signatures allow the similarity, and the share of registers.
+
+    ``new_only`` leaves out those with which the row shares an earlier band.
+    """
     label, second = t["label"].to_numpy(), np.array(t["second"].to_pylist())
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(label), REGISTERS)
     if t["lo"][0].as_py() == t["hi"][0].as_py():
         second[:] = False
     across = bool(second.any())
+    if new_only:
+        band, keys = t["band"][0].as_py(), np.frombuffer(b"".join(t["bands"].to_pylist()), np.int64).reshape(len(label), BANDS)
     for i in range(len(label)):
         near = np.flatnonzero((label != label[i]) & (second != second[i]) if across else label != label[i])
         share = (sig[near] == sig[i]).mean(1)
-        yield i, near[share >= LIKELY], share[share >= LIKELY]
+        near, share = near[share >= LIKELY], share[share >= LIKELY]
+        if new_only and len(near):
+            new = ~(keys[near, :band] == keys[i, :band]).any(1)
+            near, share = near[new], share[new]
+        yield i, near, share
 
 
-def _best(t: pa.Table) -> list[tuple[int, int]]:
+def _pair_table(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+
+
+def _best(t: pa.Table) -> pa.Table:
+    """Each row's likeliest partners."""
     node, out = t["node"].to_numpy(), set()
     for i, near, share in _likely(t):
         for j in near[np.argsort(-share, kind="stable")[:BEST]]:
             out.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
-    return sorted(out)
+    return _pair_table(sorted(out))
+
+
+def _with_partner(t: pa.Table) -> pa.Table:
+    """The rows that have a pair to be verified in this block."""
+    keep = np.zeros(t.num_rows, bool)
+    for i, near, _ in _likely(t, new_only=True):
+        keep[near] = True
+        keep[i] |= len(near) > 0
+    return t.filter(pa.array(keep))
 
 
-def _links(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
+def _links(t: pa.Table, similarity: float) -> pa.Table:
     """Links between the block's labels, likeliest first; labels that a link has joined need no other."""
-    node, band = t["node"].to_numpy(), t["band"][0].as_py()
-    keys = np.frombuffer(b"".join(t["bands"].to_pylist()), np.int64).reshape(len(node), BANDS)
+    node = t["node"].to_numpy()
     texts, bags, out = blobs(t["text"].combine_chunks()), {}, []
     label = t["label"].to_pylist()
     root = {x: x for x in label}
@@ -236,28 +265,26 @@ def _links(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
         return bags[i]
 
     found = []
-    for i, near, share in _likely(t):
+    for i, near, share in _likely(t, new_only=True):
         on = near > i
-        near, share = near[on], share[on]
-        new = ~(keys[near, :band] == keys[i, :band]).any(1)
-        found += [(-s, i, j) for s, j in zip(share[new].tolist(), near[new].tolist(), strict=True)]
+        found += [(-s, i, j) for s, j in zip(share[on].tolist(), near[on].tolist(), strict=True)]
     for _, i, j in sorted(found):
         if find(label[i]) != find(label[j]) and min(len(bag(i)), len(bag(j))) >= similarity * max(len(bag(i)), len(bag(j))) and jaccard(bag(i), bag(j)) >= similarity:
             root[find(label[i])] = find(label[j])
             out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
-    return out
+    return _pair_table(out)
 
 
-def _by_block(rows: DataFrame, pairs: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
-    """Rows (a, b) that ``pairs`` finds in each block."""
-    block = ["band", "key", "lo", "hi"]
+def _by_block(rows: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``f`` makes of each block of more than one row."""
+    block, names = ["band", "key", "lo", "hi"], [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back: pa.Table | None = None
 
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if t.num_rows > 1 and (p := pairs(t)):
-                yield pa.record_batch([pa.array([a for a, _ in p], pa.int64()), pa.array([b for _, b in p], pa.int64())], names=["a", "b"])
+            if t.num_rows > 1:
+                yield from f(t).select(names).to_batches()
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -269,8 +296,9 @@ def _by_block(rows: DataFrame, pairs: Callable[[pa.Table], list[tuple[int, int]]
             back = t.slice(edge[-1])
         if back is not None:
             yield from found(back)
+        _done()
 
-    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").filter("a <> b").dropDuplicates()
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, schema)
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -297,7 +325,8 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ta, tb = blobs(batch.column(2)), blobs(batch.column(3))
             ok = [jaccard(bag(i, s), bag(j, t)) >= similarity for i, j, s, t in zip(a, b, ta, tb, strict=True)]
-            yield pa.record_batch([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+            yield pa.record_batch([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+        _done()
 
     texts = _texts(docs, pairs)
     left = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}).hint("merge"), "a")
@@ -305,6 +334,17 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
 
 
+PAIRS_SCHEMA = "a long, b long"
+ROWS_SCHEMA = "band int, key long, lo int, hi int, second boolean, node long, label long, bands binary, sig binary"
+
+
+def _same_id(known: DataFrame, prints: DataFrame) -> DataFrame:
+    """Rows (a, b): the nodes of the texts that one doc_id has, where it has several."""
+    several = known.groupBy("doc_id").agg(F.min("print").alias("x"), F.max("print").alias("y")).filter("x <> y").select("doc_id")
+    nodes = known.join(several, "doc_id", "left_semi").join(prints, "print").select("doc_id", "node").dropDuplicates()
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").dropDuplicates()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, kept for every row: the class' smallest doc_id, and whether the row is that document's."""
     sketch = sketches(docs)
@@ -314,27 +354,40 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = written(_buckets(nodes), "buckets")
     heads = buckets.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
     tested = written(buckets.join(heads.hint("merge"), ["band", "key"]).select("a", F.col("node").alias("b")).filter("a <> b").dropDuplicates(), "pairs")
-    links = verified(docs, tested, similarity)
+    links = verified(docs, tested, similarity).unionByName(written(_same_id(known, nodes.select("print", "node")), "links"))
     labels = connected(links)
     mixed = _mixed(buckets, labels)
-    near = _by_block(mixed.join(nodes.select("node", "sig").hint("merge"), "node"), _best)
+    near = _by_block(mixed.join(nodes.select("node", "sig").hint("merge"), "node"), _best, PAIRS_SCHEMA).filter("a <> b").dropDuplicates()
     links = links.unionByName(verified(docs, written(near.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs"), similarity))
     labels = connected(links)
-    mixed = _mixed(buckets, labels)
-    texts = _texts(docs, mixed.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    rest = mixed.join(nodes.select("node", "sig", "bands").hint("merge"), "node").join(texts.hint("merge"), "node")
-    links = links.unionByName(written(_by_block(rest, lambda t: _links(t, similarity)), "links"))
+    # texts go only to the rows of blocks whose signatures call for them
+    rest = _by_block(_mixed(buckets, labels).join(nodes.select("node", "sig", "bands").hint("merge"), "node"), _with_partner, ROWS_SCHEMA)
+    rest = written(rest, "likely-rows")
+    texts = _texts(docs, rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    found = _by_block(rest.join(texts.hint("merge"), "node"), lambda t: _links(t, similarity), PAIRS_SCHEMA)
+    links = links.unionByName(written(found.filter("a <> b").dropDuplicates(), "links"))
     labels = connected(links)
     of_print = nodes.select("print", "node").join(labels, nodes.node == labels.id, "left").select("print", F.coalesce("component", "node").alias("class_id"))
-    # rows that repeat an id may differ in text: the id then belongs to the smallest of their classes
-    own = sketch.join(of_print.hint("merge"), "print", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    own = sketch.join(of_print.hint("merge"), "print", "left").select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    own = written(own, "own-classes")
+    # a row without words follows the other rows of its id
+    bare = F.col("print").isNull() & F.col("doc_id").isNotNull()
+    follow = own.filter(~bare).join(own.filter(bare).select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("class_id").alias("other"))
+    followed = own.filter(bare).join(follow, "doc_id", "left").select("doc_id", F.coalesce("other", "doc_id").alias("class_id"))
+    return own.filter(~bare).select("doc_id", "class_id").unionByName(followed).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, the smallest doc_id; a repeated row of it goes too."""
+    """``docs`` with one document of each class, the smallest doc_id; of rows that repeat it the one of the smallest text."""
     found = written(classes(docs, similarity), "classes")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).dropDuplicates()
-    left = docs.join(small(gone, IDS), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    repeats = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
-    return left if repeats.isEmpty() else left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.filter(F.col("doc_id").isNull()))
+    gone, row = free(docs, "__id", "__row")
+    ids = found.filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).dropDuplicates()
+    left = docs.join(small(ids, IDS), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    several = written(found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(gone)).count().filter("count > 1").select(gone), "repeated-ids")
+    if several.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long") == F.col(gone)
+    repeats = left.join(several, same, "left_semi")
+    sortable = [col(n) for n, kind in docs.dtypes if n != "text" and "map<" not in kind and "variant" not in kind]
+    one = repeats.groupBy("doc_id").agg(F.min_by(F.struct(*map(col, docs.columns)), F.struct("text", *sortable)).alias(row))
+    return left.join(several, same, "left_anti").unionByName(one.select(*[F.col(row)[c].alias(c) for c in docs.columns]))

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from almoner.llm import bagminhash as bag
+from tests.llm.conftest import prose
 
 
 def multiset(text):
@@ -100,3 +101,26 @@ def test_edge_rows(spark, edge, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 8, 9, 10] and ids.count(None) == 1
     assert bag.classes(empty).isEmpty() and bag.keep_one(empty).isEmpty()
+
+
+def test_rows_of_one_id_share_a_class(spark):
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, None), (9, c), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id) for r in bag.classes(df).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (None, None)}
+    assert sorted((r.doc_id or 0, r.text) for r in bag.keep_one(df).collect()) == sorted([(3, a), (8, c), (0, c)])
+
+
+def test_components_in_few_rounds_whatever_the_order(spark, monkeypatch):
+    from almoner.llm import graph
+
+    n, rounds = 300, []
+    made = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rounds.append(name) or made(df, name))
+    back = [x for i in range(n // 2) for x in (i, n - 1 - i)]
+    for order in (list(range(n)), random.Random(1).sample(range(n), n), back):
+        rounds.clear()
+        edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long").coalesce(1)
+        got = graph.connected(edges).collect()
+        assert sorted(r.id for r in got) == list(range(n)) and {r.component for r in got} == {0} and len(rounds) <= 16
