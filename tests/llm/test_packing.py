@@ -97,7 +97,52 @@ def test_edge_rows(spark, edge, empty, encode):
     assert packing.pack(empty, tokenizer_path()).isEmpty()
 
 
-def test_many_sources_share_queues(spark, encode, monkeypatch):
-    rows, df = corpus(spark, 40)
+def in_proportion(pieces, source, share, window, off):
+    """Each window holds each source's share, to within ``off`` tokens, while all sources last."""
+    windows = defaultdict(lambda: defaultdict(int))
+    for p in pieces:
+        windows[p.sequence_id // 4][source[p.doc_id]] += p.length
+    for w in range(window):
+        size = sum(windows[w].values())
+        assert all(abs(windows[w][s] - size * p) <= off for s, p in share.items()), w
+
+
+def test_more_sources_than_queues_keep_their_shares(spark, encode, monkeypatch):
+    rows = [(i, prose(i, 40), f"s{i % 12}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     monkeypatch.setattr(packing, "QUEUES", 3)
-    whole(packing.pack(df, tokenizer_path(), length=128, window=2).collect(), [r[:2] for r in rows], encode, 128)
+    source, tokens = {i: s for i, _, s in rows}, defaultdict(int)
+    for i, t, s in rows:
+        tokens[s] += len(encode(t))
+    pieces = packing.pack(df, tokenizer_path(), length=128, window=4).collect()
+    whole(pieces, [r[:2] for r in rows], encode, 128)
+    in_proportion(pieces, source, {s: n / sum(tokens.values()) for s, n in tokens.items()}, 8, 6)
+    shares = {f"s{i}": 0.3 if i == 5 else 0.7 / 11 for i in range(12)}
+    pieces = packing.pack(df, tokenizer_path(), shares=shares, length=128, window=4).collect()
+    whole(pieces, [r[:2] for r in rows], encode, 128)
+    in_proportion(pieces, source, shares, 2, 6)
+
+
+def test_a_share_of_zero_comes_last(spark, encode):
+    rows, df = corpus(spark)
+    pieces = packing.pack(df, tokenizer_path(), shares={"s0": 0.5, "s1": 0.25, "s2": 0.25, "s3": 0, "s4": 0}, length=256, window=4).collect()
+    whole(pieces, [r[:2] for r in rows], encode, 256)
+    source = {i: s for i, _, s in rows}
+    place = lambda p: p.sequence_id * 256 + p.offset
+    late = [place(p) for p in pieces if source[p.doc_id] in ("s3", "s4")]
+    assert min(late) >= sum(p.length for p in pieces if source[p.doc_id] not in ("s3", "s4"))
+    whole(packing.pack(df, tokenizer_path(), shares=dict.fromkeys(["s0", "s1", "s2", "s3", "s4"], 0), length=256, window=4).collect(), [r[:2] for r in rows], encode, 256)
+    with pytest.raises(ValueError):
+        packing.pack(df, tokenizer_path(), shares={"s0": -1})
+
+
+def test_a_rare_queue_needs_few_windows():
+    r = packing.Rounds([10**9, 3], [1 - 4e-9, 4e-9], 100)
+    assert len(r.windows(1, 0, 3)) < 50
+    (parts,) = r.cut(1, [(0, 3)])
+    assert [n for _, n, _ in parts] == [1, 1, 1] and len({k for _, _, k in parts}) == 3
+    full = packing.Rounds([5000, 700, 44], [0.3, 0.5, 0.2], 64)
+    state = full.before(np.arange(0, 91))
+    for q in range(3):
+        got = [x for own in full.cut(q, [(i, 1) for i in range(full.totals[q])]) for x in own]
+        assert all(state[k, q] <= i < state[k + 1, q] and at == k * 64 + (state[k + 1, :q] - state[k, :q]).sum() + i - state[k, q] for i, (at, _, k) in enumerate(got))
