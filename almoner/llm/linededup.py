@@ -1,30 +1,37 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents come in batches.  A batch's lines become a run: for each 128-bit hash of a line's key the number of documents
-that hold it and the largest of their ids, hash-partitioned and sorted by hash.  A level that has ``FANOUT`` runs is
-compacted into one run of the next level.  What repeats is then read off the merged runs, and each batch's lines are
-sort-merge joined with it: a line whose key is in too many documents goes, except in the largest id that holds it.
+Documents come in batches.  A batch's lines are summed up as, for each 128-bit hash of a line's key, the number of its
+documents that hold it and the largest of their ids, bucketed and sorted by hash.  The batch is merge-anti-joined with
+the runs of all batches before it: hashes that no run has become a run of their own, so that runs never share a hash; the
+others go to a second set of runs, of repeats, with their counts.  When a level has ``FANOUT`` runs they are merged into
+one of the next level.  At the end each run is merge-joined with the repeats, which gives every hash's number of documents
+and largest id: a line whose key is in too many documents goes, except in the largest id that holds it.  Runs have one
+bucketing, so that none of these joins and merges shuffles.
 
 Defined results: a null or empty text is one empty line; a key is the line stripped of ASCII white space with A-Z
 lower-cased, and keys of fewer than ``MIN_CHARS`` code points always stay; a line repeated within a document counts as
 one document but each copy goes; rows that repeat a doc_id are one document and share its drops; a null id is below all
-others; extra columns pass through; an empty table gives an empty result.
+others; extra columns of any name pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, small, written
+from almoner.llm.common import blobs, col, free, scratch_path, small, tidy, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
-BATCHES, FANOUT = 4, 3
+BATCHES, FANOUT = 4, 2
+
+HASH, COUNTS = ["h1", "h2"], ["n_docs", "max_doc"]
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -56,52 +63,95 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     owner += [i] * len(own)
                 h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
                 yield pa.record_batch([pa.array(owner, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc_id", "h1", "h2"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, h1 long, h2 long")
 
 
 class Runs:
-    """Levels of sorted runs (h1, h2, n_docs, max_doc) in the shared folder."""
+    """Levels of runs (h1, h2, n_docs, max_doc) in the shared folder, all bucketed alike and sorted by hash.
+
+    ``fresh`` runs hold each hash once, with what its first batch knows of it; ``repeats`` what later batches know.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.fresh: list[list[DataFrame]] = [[]]
+        self.repeats: list[list[DataFrame]] = [[]]
+        self.tables: list[str] = []
+        atexit.register(self.close)
+
+    def _run(self, rows: DataFrame) -> DataFrame:
+        name = f"almoner_run_{uuid.uuid4().hex}"
+        self.tables.append(name)
+        rows.select(*HASH, *COUNTS).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", scratch_path(self.spark, "line-run")).option("compression", "zstd").saveAsTable(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Forget the runs' names; their files go when the driver ends."""
+        while self.tables and self.spark.sparkContext._jsc is not None:
+            self.spark.sql(f"drop table if exists {self.tables.pop()}")
 
-    def __init__(self, fanout: int = FANOUT) -> None:
-        self.fanout, self.levels = fanout, [[]]
+    @staticmethod
+    def _with(rows: DataFrame, run: DataFrame, how: str) -> DataFrame:
+        """A merge join of ``rows`` with a run, whose counts are named n and m."""
+        return rows.join(run.select(*HASH, F.col("n_docs").alias("n"), F.col("max_doc").alias("m")).hint("merge"), HASH, how)
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        return written(rows.sortWithinPartitions("h1", "h2"), "line-run")  # an aggregate has dealt the rows by hash
+    @classmethod
+    def _summed(cls, rows: DataFrame, run: DataFrame, how: str) -> DataFrame:
+        total = (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs")
+        return cls._with(rows, run, how).select(*HASH, total, F.greatest("max_doc", "m").alias("max_doc"))
 
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch, whose documents no other batch holds, as a run; then compact every level that is full."""
-        distinct = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        self.levels[0].append(self._write(distinct))
-        for depth, level in enumerate(self.levels):
+    def _merged(self, runs: list[DataFrame]) -> DataFrame | None:
+        whole = runs[0] if runs else None
+        for r in runs[1:]:
+            whole = self._run(self._summed(whole, r, "full_outer"))
+        return whole
+
+    def _compact(self, levels: list[list[DataFrame]]) -> None:
+        for depth, level in enumerate(levels):
             if len(level) >= self.fanout:
-                if depth + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[depth + 1].append(self._write(self._merge(level)))
+                if depth + 1 == len(levels):
+                    levels.append([])
+                levels[depth + 1].append(self._merged(level))
                 level.clear()
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")) if len(runs) > 1 else rows
+    def add(self, lines: DataFrame) -> None:
+        """Add the distinct (doc_id, h1, h2) of a batch whose documents no other batch holds."""
+        self._compact(self.fresh)
+        self._compact(self.repeats)
+        batch = self._run(lines.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        new = batch
+        known = [r for level in self.fresh for r in level]
+        for r in known:
+            new = self._with(new, r, "left_anti")
+        if known:
+            new = self._run(new)
+            self.repeats[0].append(self._run(self._with(batch, new, "left_anti")))
+        self.fresh[0].append(new)
 
     def repeated(self, min_docs: int) -> DataFrame:
         """Keys in at least ``min_docs`` documents, with the largest id."""
-        return self._merge([r for level in self.levels for r in level]).filter(F.col("n_docs") >= min_docs)
+        repeats = self._merged([r for level in self.repeats for r in level])
+        rows = None
+        for r in (r for level in self.fresh for r in level):
+            own = (r if repeats is None else self._summed(r, repeats, "left")).filter(F.col("n_docs") >= min_docs)
+            rows = own if rows is None else rows.unionByName(own)
+        return rows
 
 
 def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Rows (doc_id, drop): for each document that loses lines, the hashes of their keys, 16 bytes each in one value."""
     hashed = line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     lines = written(hashed, "lines", partition_by="batch")
-    runs = Runs(fanout)
+    runs = Runs(docs.sparkSession, fanout)
     for b in range(batches):
         # rows that repeat an id lie in one batch; only such rows can repeat (id, hash)
-        runs.add(lines.filter(F.col("batch") == b).select("doc_id", "h1", "h2").dropDuplicates())
+        runs.add(lines.filter(F.col("batch") == b).select("doc_id", *HASH).dropDuplicates())
     repeated = written(runs.repeated(min_docs), "repeated-lines")
-    hit = lines.join(small(repeated.select("h1", "h2", "max_doc")), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+    runs.close()
+    hit = lines.join(small(repeated.select(*HASH, "max_doc")), HASH).filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     # a document's list is no longer than the document
     return written(hit.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop")), "line-drops")
 
@@ -114,10 +164,12 @@ def _cut(text: bytes, drop: set[tuple[int, int]], min_chars: int) -> tuple[int,
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def _joined(docs: DataFrame, **options: int) -> DataFrame:
-    d = drops(docs, **options).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+def _joined(docs: DataFrame, **options: int) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, the drops, and its name."""
+    own, name = free(docs, "__id", "__drop")
+    d = drops(docs, **options).select(F.col("doc_id").alias(own), F.col("drop").alias(name))
     # one plan at every size: the list of drops grows with the corpus, so it is never broadcast
-    return docs.join(d.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    return docs.join(d.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").drop(own), name
 
 
 def _sets(column: pa.Array) -> list[set[tuple[int, int]]]:
@@ -133,7 +185,8 @@ def dedup_report(docs: DataFrame, **options: int) -> DataFrame:
             rows = [_cut(t, s, min_chars) for t, s in zip(blobs(b.column(1)), _sets(b.column(2)), strict=True)]
             yield pa.record_batch([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return _joined(docs, **options).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), "__drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    rows, name = _joined(docs, **options)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), name).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
@@ -144,9 +197,11 @@ def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
         return pa.array([_cut(t, s, min_chars)[2].decode() for t, s in zip(blobs(texts), _sets(drop), strict=True)], pa.string())
 
     text = F.col("text").cast("string")
-    cut = F.arrow_udf(run, "string")(text, F.col("__drop"))
+    rows, name = _joined(docs, **options)
+    cut = F.arrow_udf(run, "string")(text, F.col(name))
     # rows without drops go round the Python worker's result but not its input; both are batches, not groups
-    return _joined(docs, **options).withColumn("__text", F.when(F.col("__drop").isNull(), text).otherwise(cut)).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    kept = F.when(F.col(name).isNull(), text).otherwise(cut).alias("text")
+    return rows.select(*[kept if c == "text" else col(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -43,12 +43,26 @@ def test_many_small_batches_compact(spark):
     assert order(linededup.dedup_report(df, batches=7, fanout=2).collect()) == order(brute(rows))
 
 
-def test_runs_are_compacted_by_level(spark):
-    runs = linededup.Runs(2)
+def test_runs_are_compacted_by_level_and_never_share_a_hash(spark):
+    runs = linededup.Runs(spark, 2)
     for i in range(5):
         runs.add(spark.createDataFrame([(i, 1, 1), (i, i, 2)], "doc_id long, h1 long, h2 long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    assert [len(x) for x in runs.fresh] == [1, 0, 1] and [len(x) for x in runs.repeats] == [2, 1]
+    keys = [(r.h1, r.h2) for level in runs.fresh for run in level for r in run.collect()]
+    assert sorted(keys) == sorted([(1, 1), *((i, 2) for i in range(5))])
     assert {(r.h1, r.h2): (r.n_docs, r.max_doc) for r in runs.repeated(2).collect()} == {(1, 1): (5, 4)}
+    runs.close()
+
+
+def test_runs_are_joined_and_merged_without_a_shuffle(spark):
+    runs = linededup.Runs(spark, 2)
+    for i in range(2):
+        runs.add(spark.createDataFrame([(i, 1, 1), (i, i, 2)], "doc_id long, h1 long, h2 long"))
+    one, two = runs.fresh[0]
+    for how in ("left_anti", "full_outer", "left"):
+        plan = runs._with(one, two, how)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.close()
 
 
 def test_texts_and_edge_rows(spark, edge, empty):
