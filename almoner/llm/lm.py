@@ -28,13 +28,13 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, fold, written
+from almoner.llm.common import blobs, fold, tidy, written
 
 #: Limits of a block.
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 250_000
 #: Tokens for each bucket of pairs; share of the tokens from which a first word's pairs are dealt by the second.
 BUCKET_TOKENS, HOT = 1_000_000, 1000
 #: Bits of a word's number in its block, within its number in all.
@@ -159,16 +159,20 @@ def parts(docs: DataFrame, held_out: object, id_col: str = "doc_id", text_col: s
                     numbers.clear()
         if numbers:
             yield from flush()
+        numbers.clear()
+        tidy()
 
     return written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), held_out).mapInArrow(run, PARTS_SCHEMA), "lm-parts", partition_by="kind")
 
 
 def word_counts(got: DataFrame) -> DataFrame:
-    """Rows (block, id, word, c, whole, first): each block's words with their counts in all training texts and their numbers in all; first marks one row a word."""
-    w = Window.partitionBy("word")
-    words = got.filter(F.col("kind") == WORD)
-    own = F.col("block") * (1 << ID_BITS) + F.col("id")
-    return written(words.select("block", "id", "word", F.sum("n").over(w).alias("c"), F.min(own).over(w).alias("whole")).withColumn("first", own == F.col("whole")), "lm-counts")
+    """Rows (block, id, word, c, whole, first): each block's words with their counts in all training texts and their numbers in all; first marks one row a word.
+
+    Sums are partial before they meet, and the join can split a word that very many blocks hold.
+    """
+    words = got.filter(F.col("kind") == WORD).select("block", "id", "word", "n", (F.col("block") * (1 << ID_BITS) + F.col("id")).alias("own"))
+    sums = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("own").alias("whole"))
+    return written(words.join(sums.hint("merge"), "word").select("block", "id", "word", "c", "whole", (F.col("own") == F.col("whole")).alias("first")), "lm-counts")
 
 
 def unigrams(counts: DataFrame) -> Unigrams:
@@ -233,6 +237,8 @@ def pair_counts(got: DataFrame, counts: DataFrame, m: Unigrams) -> DataFrame:
             b = pairs[part] - a * len(ids)
             new = np.flatnonzero(np.diff(a, prepend=-1))
             rows.append({"kind": PAIRS, "block": block, "bucket": k, "a": pack(whole[a[new]]), "b": pack(np.diff(new, append=len(a))), "c": pack(whole[b]), "d": pack(seen[part]), "e": pack(c[b])})
+        del pairs, seen, order, whole, c, slot
+        tidy()
         return table_of(ARCS_SCHEMA, rows)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -258,6 +264,8 @@ def pair_counts(got: DataFrame, counts: DataFrame, m: Unigrams) -> DataFrame:
         for i in np.flatnonzero(np.isin(names, often)):
             out.append({"kind": SUMS, "n": int(names[i]), "x": int(after[i]), "y": int(mass[i])})
         out.append({"kind": TIMES, "x": int((total == 1).sum()), "y": int((total == 2).sum())})
+        del pairs, at, total_at, firsts, runs, first, second, b, asked, rows
+        tidy()
         return table_of(ARCS_SCHEMA, out)
 
     texts = got.filter(F.col("kind") == DOC).select("block", "held_out", "n", "ids")
