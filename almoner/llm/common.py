@@ -61,7 +61,14 @@ def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     if "partition_by" in options:
         writer = writer.partitionBy(options["partition_by"])
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(table: DataFrame, partition: str = "") -> None:
+    """Remove a table that ``written`` made, or one partition of it, when nothing reads it any more."""
+    delete(table.sparkSession, f"{table.scratch}/{partition}".rstrip("/"))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, fold, tidy, written
+from almoner.llm.common import blobs, discard, fold, tidy, written
 
 #: Limits of a block.
-BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 250_000
+BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 320_000
 #: Tokens for each bucket of pairs; share of the tokens from which a first word's pairs are dealt by the second.
 BUCKET_TOKENS, HOT = 1_000_000, 1000
 #: Bits of a word's number in its block, within its number in all.
@@ -370,5 +370,8 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     got = parts(docs, fold("doc_id", folds) == 0)
     counts = word_counts(got)
     m = unigrams(counts)
-    scores = score(got, pair_counts(got, counts, m), m)
+    arcs = pair_counts(got, counts, m)
+    discard(counts)  # the scores need only the texts and the arcs
+    discard(got, f"kind={WORD}")
+    scores = score(got, arcs, m)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score")
