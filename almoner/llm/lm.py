@@ -170,9 +170,10 @@ def word_counts(got: DataFrame) -> DataFrame:
 
     Sums are partial before they meet, and the join can split a word that very many blocks hold.
     """
-    words = got.filter(F.col("kind") == WORD).select("block", "id", "word", "n", (F.col("block") * (1 << ID_BITS) + F.col("id")).alias("own"))
+    words = got.filter(F.col("kind") == WORD).select("word", "n", (F.col("block") * (1 << ID_BITS) + F.col("id")).alias("own"))
     sums = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("own").alias("whole"))
-    return written(words.join(sums.hint("merge"), "word").select("block", "id", "word", "c", "whole", (F.col("own") == F.col("whole")).alias("first")), "lm-counts")
+    block, number = F.shiftright("own", ID_BITS).alias("block"), F.col("own").bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int").alias("id")
+    return written(words.drop("n").join(sums.hint("merge"), "word").select(block, number, "word", "c", "whole", (F.col("own") == F.col("whole")).alias("first")), "lm-counts")
 
 
 def unigrams(counts: DataFrame) -> Unigrams:
