@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, chunks, col, free, small, tidy, written
+from almoner.llm.common import blobs, col, free, slices, small, tidy, written
 from almoner.llm.graph import connected
 
 SHINGLE = 5
@@ -166,14 +166,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, print, bands, sig): print is the digest of the token sequence, null without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = blobs(b.column(1))
-            for lo, hi in chunks(texts, 1 << 20):
-                tokens = [words(t) for t in texts[lo:hi]]
+        for whole in batches:
+            for b, texts in slices(whole, 1, 1 << 20):
+                tokens = [words(t) for t in texts]
                 s = signatures([shingles(t) for t in tokens])
                 prints = [hashlib.blake2b(b" ".join(t), digest_size=16).digest() if t else None for t in tokens]
                 yield pa.record_batch(
-                    [b.column(0)[lo:hi], pa.array(prints, pa.binary()), pa.array([v.tobytes() for v in bands(s)], pa.binary()), pa.array([v.tobytes() for v in short(s)], pa.binary())],
+                    [b.column(0), pa.array(prints, pa.binary()), pa.array([v.tobytes() for v in bands(s)], pa.binary()), pa.array([v.tobytes() for v in short(s)], pa.binary())],
                     names=["doc_id", "print", "bands", "sig"],
                 )
         _done()

@@ -11,6 +11,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,3 +136,14 @@ def chunks(values: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         held += len(v) + 1
     if start < len(values):
         yield start, len(values)
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in slices of about ``limit`` bytes of a string column, one row at least, each with that column's blobs."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64) + 1)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        part = batch.slice(start, stop - start)
+        yield part, blobs(part.column(column))
+        start = stop

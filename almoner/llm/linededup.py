@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, col, free, scratch_path, small, tidy, written
+from almoner.llm.common import blobs, col, free, scratch_path, slices, small, tidy, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 2
@@ -53,11 +53,10 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Rows (doc_id, h1, h2): the distinct keys of each document that are long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), blobs(b.column(1))
-            for lo in range(0, len(texts), 2000):
+        for whole in batches:
+            for b, texts in slices(whole, 1):
                 found, owner = [], []
-                for i, t in zip(ids[lo : lo + 2000], texts[lo : lo + 2000], strict=True):
+                for i, t in zip(b.column(0).to_pylist(), texts, strict=True):
                     own = {k for line in t.split(b"\n") if len(line) >= min_chars and _chars(k := key(line)) >= min_chars}
                     found += map(_digest, own)
                     owner += [i] * len(own)
@@ -181,9 +180,10 @@ def dedup_report(docs: DataFrame, **options: int) -> DataFrame:
     min_chars = options.get("min_chars", MIN_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [_cut(t, s, min_chars) for t, s in zip(blobs(b.column(1)), _sets(b.column(2)), strict=True)]
-            yield pa.record_batch([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+        for whole in batches:
+            for b, texts in slices(whole, 1):
+                rows = [_cut(t, s, min_chars) for t, s in zip(texts, _sets(b.column(2)), strict=True)]
+                yield pa.record_batch([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     rows, name = _joined(docs, **options)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), name).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

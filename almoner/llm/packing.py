@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, chunks, small, tidy, written
+from almoner.llm.common import slices, small, tidy, written
 
 LENGTH = 4096
 #: Sequences in a window: a source's share of a window is contiguous there.
@@ -42,7 +42,8 @@ END = 2
 QUEUES = 1000
 #: Windows whose state is held at once.
 STATES = 512
-CACHED_WORDS = 600_000
+#: Words whose ids a task remembers; words that are encoded at once.
+CACHED_WORDS, AT_ONCE = 350_000, 8192
 
 TOKENS_SCHEMA = "doc_id long, source string, queue string, n long, part long, start long, ids binary"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -105,14 +106,16 @@ class _Words:
         self.flat, self.start, self.size = np.array([END], "<u2"), np.array([0, 0]), np.array([0, 1])
 
     def encode(self, words: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
-        ids = [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        ids = []
+        for lo in range(0, len(words), AT_ONCE):
+            ids += [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[lo : lo + AT_ONCE]], add_special_tokens=False)]
         return ids, list(map(len, ids))
 
     def encode_letters(self, words: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
         """Words of letters, each one pre-token, many at once: a word's last id is one that ends words."""
         out, sizes = [], []
-        for lo in range(0, len(words), 64 * 1024):
-            part = words[lo : lo + 64 * 1024]
+        for lo in range(0, len(words), 2 * AT_ONCE):
+            part = words[lo : lo + 2 * AT_ONCE]
             groups = [part[i : i + 64] for i in range(0, len(part), 64)]
             for own, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode("utf-8", "replace") for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u2")
@@ -177,16 +180,15 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, given = _Words(path), TaskContext.get().partitionId(), {}
-        for b in batches:
-            texts = blobs(b.column(3))
-            for lo, hi in chunks(texts):
-                ids = cache.ids(texts[lo:hi])
+        for whole in batches:
+            for b, texts in slices(whole, 3, 2 << 20):
+                ids = cache.ids(texts)
                 n = [len(x) // 2 for x in ids]
                 starts = []
-                for s, k in zip(b.column(1)[lo:hi].to_pylist(), n, strict=True):
+                for s, k in zip(b.column(1).to_pylist(), n, strict=True):
                     starts.append(given.get(s, 0))
                     given[s] = starts[-1] + k
-                yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], b.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "queue", "n", "part", "start", "ids"])
+                yield pa.record_batch([*b.columns[:3], pa.array(n, pa.int64()), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "queue", "n", "part", "start", "ids"])
         del cache, given
         tidy()
 
