@@ -55,9 +55,9 @@ def tokens(line: Column, mode: str = "java") -> Column:
         return F.split(F.lower(F.regexp_replace(line, "[^a-zA-Z]+", " ")), " ", -1)
     spaced = F.lower(F.regexp_replace(line, "[^a-zA-Z]", " "))
     if mode == "java":
-        trimmed = F.rtrim(spaced)
         none = F.array().cast("array<string>")
-        return F.when(spaced == "", F.array(F.lit(""))).when(trimmed == "", none).otherwise(F.split(trimmed, r"\s+", -1))
+        rule = lambda v: F.when(v == "", F.array(F.lit(""))).when(F.rtrim(v) == "", none).otherwise(F.split(F.rtrim(v), r"\s+", -1))
+        return F.flatten(F.transform(F.array(spaced), rule))  # the line is cleaned once, not in each branch
     if mode == "clean":
         return F.filter(F.split(spaced, r"\s+", -1), lambda w: w != "")
     raise ValueError(f"unknown tokenising mode {mode!r}")

@@ -1,4 +1,4 @@
-"""Bloom filters of a fixed size, built and merged as bitmaps in the JVM, probed in Arrow batches, and audited."""
+"""Bloom filters of a given size, built and merged as bitmaps in the JVM, probed in Arrow batches, and audited."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS, HASHES = 2_000_000, 7
+#: Bits for each key of a filter that is sized by its keys, and the most bits such a filter may have.
+BITS_A_KEY, MOST_BITS = 10, 512 << 20
 _CHUNK = 32_768  # bits of one of Spark's bitmaps
 
 
@@ -24,6 +26,12 @@ class Bloom:
         return (1 - np.exp(-self.k * keys / self.m)) ** self.k
 
 
+def bits_for(keys: int) -> int | None:
+    """Bits of a filter of so many keys; None where it would be too large to send around."""
+    bits = max(BITS, BITS_A_KEY * keys)
+    return bits if bits <= MOST_BITS else None
+
+
 def positions(key: Column, m: int = BITS, k: int = HASHES) -> Column:
     return F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(m)) for i in range(k)])
 
@@ -32,12 +40,11 @@ def bloom_build(df: DataFrame, key: str, m: int = BITS, k: int = HASHES) -> Bloo
     """Tasks set bits in partial bitmaps, which are merged; at most m / 32768 rows come to the driver. NULL keys are left out."""
     at = df.filter(F.col(key).isNotNull()).select(F.explode(positions(F.col(key), m, k)).alias("at"))
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = bytearray(-(-(m + 1) // _CHUNK) * _CHUNK // 8)
+    out = np.zeros(-(-(m + 1) // _CHUNK) * _CHUNK // 8, np.uint8)
     for r in rows:  # buckets count from 1 for positive values, and 0 is in bucket 0
         start = max(0, r.bucket - 1) * _CHUNK // 8 if r.bucket else 0
-        for i, byte in enumerate(r.bits):
-            out[start + i] |= byte
-    return Bloom(m, k, bytes(out))
+        out[start : start + len(r.bits)] |= np.frombuffer(bytes(r.bits), np.uint8)
+    return Bloom(m, k, out.tobytes())
 
 
 def bloom_merge(*blooms: Bloom) -> Bloom:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almoner import schemas
 from almoner.functions.expressions import record, subject_contains, text_or_null, two_decimals
-from almoner.operators.bloom import Bloom, bloom_build, bloom_probe
+from almoner.operators.bloom import Bloom, bits_for, bloom_build, bloom_probe
 from almoner.plans.session import BROADCAST_ROWS, broadcast_if_small
 
 HOW = {"inner": "inner", "left": "left_outer", "right": "right_outer", "full": "full_outer"}
@@ -35,6 +35,7 @@ def join_donations_projects(
     recheck: bool = True,
     salts: int = 16,
     broadcast_rows: int = BROADCAST_ROWS,
+    last_by_column: str | None = None,
 ) -> DataFrame:
     """Equi-join on project_id of five donation and four project columns, and whether each side is there.
 
@@ -43,18 +44,27 @@ def join_donations_projects(
     ``recheck=False``, takes the subject test's place with its false positives.  ``broadcast`` is a request: the projects
     are counted, and over ``broadcast_rows`` the join shuffles.  ``salted`` deals each key over ``salts`` parts of the
     donations and copies the projects to each, for inner and left joins with keys that hold much of the data.  "" keys
-    match each other.
+    match each other.  With ``last_by_column`` only the project of its largest value counts, of those with one id.  A filter
+    built here is sized by its keys; for more keys than can be sent around none is built, as the join is exact without.
     """
     if how not in HOW or strategy not in STRATEGIES:
         raise ValueError(f"how is one of {list(HOW)}, strategy one of {STRATEGIES}")
     if bloom and how != "inner":
         raise ValueError("a Bloom filter may only thin out an inner join")
+    if last_by_column:
+        projects = last_by(projects.select(*schemas.PROJECT_PROJECTION, last_by_column), "project_id", last_by_column)
     p = projects.select(schemas.PROJECT_PROJECTION) if bloom and not recheck else with_subject(projects.select(schemas.PROJECT_PROJECTION), subject)
     d = donations.select(schemas.DONATION_PROJECTION)
     if min_total is not None:
         d = d.filter(F.col("total") >= min_total)
+    if bloom is True:
+        kept = with_subject(projects, subject)
+        bits = bits_for(kept.count())
+        if not bits and not recheck:
+            raise ValueError("too many projects for an approximate join")
+        bloom = bloom_build(kept, "project_id", bits) if bits else None
     if bloom:
-        b = bloom_build(with_subject(projects, subject), "project_id") if bloom is True else bloom
+        b = bloom
         d = d.filter(bloom_probe(d, "project_id", b))
         if not recheck:
             p = p.filter(bloom_probe(p, "project_id", b))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almoner.functions.expressions import is_empty
-from almoner.plans.session import ensure_checkpoint_dir
+from almoner.plans.session import ensure_checkpoint_dir, shuffle_partitions
 
 
 def order_by_sum_desc(sums: DataFrame) -> DataFrame:
@@ -30,9 +30,9 @@ def composite_order(total: str = "desc") -> list[Column]:
     return [F.lower("donor_state"), F.lower("donor_city"), last]
 
 
-def total_sort(df: DataFrame, keys: list[str | Column], partitions: int = 3) -> DataFrame:
-    """Range partitions that are sorted within and ordered among themselves; Spark samples the bounds."""
-    return df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+def total_sort(df: DataFrame, keys: list[str | Column], partitions: int | None = None) -> DataFrame:
+    """Range partitions, by default the session's number, sorted within and ordered among themselves; Spark samples the bounds."""
+    return df.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
 def natural_key_partitions(donations: DataFrame, partitions: int) -> DataFrame:
@@ -48,7 +48,7 @@ def secondary_sort(donations: DataFrame, partitions: int | None = None) -> DataF
     return ordered.select("donation_id", F.format_string("%s %s %.2f", "donor_state", "donor_city", F.col("total").cast("double")).alias("label"))
 
 
-def global_rank(df: DataFrame, keys: list[Column], partitions: int, name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, keys: list[Column], partitions: int | None = None, name: str = "rank") -> DataFrame:
     """``df`` with each row's place in the global order, without bringing all rows to one task.
 
     The sorted partitions are checkpointed, so that the ranks and the offsets come from the same partitions; a partition's

@@ -21,8 +21,8 @@ def word_count(lines: DataFrame, mode: str = "java") -> DataFrame:
 
 def top_words(counts: DataFrame, min_len: int = 3, min_count: int = 100_000, n: int = 30) -> DataFrame:
     """The most frequent long words, in SQL; ties by word."""
-    counts.createOrReplaceTempView("wordcounts")
     return counts.sparkSession.sql(
-        "select * from wordcounts where length(word) >= :len and count > :least order by count desc, word limit :n",
+        "select * from {counts} where length(word) >= :len and count > :least order by count desc, word limit :n",
         args={"len": min_len, "least": min_count, "n": n},
+        counts=counts,
     )

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bytes up to which it is.
+BROADCAST_BYTES = 128 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, or a folder of our own only where it is unset and all runs in one place."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not folder:
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="almoner-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -22,6 +27,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast after a count shows at most ``rows`` rows; otherwise the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/almoner/{name}-{uuid.uuid4().hex}"
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast after a pass shows at most ``rows`` rows and ``size`` bytes; otherwise the join shuffles."""
+    wide = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    each = sum(wide, F.lit(16 * len(df.columns)))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df

@@ -47,6 +47,14 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("username"), F.col("ts").alias("creation"), F.col("props").alias("content"))
 
 
+def uuid_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with creation as a version-1 UUID of that time."""
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(creation as timestamp_ntz))")
+    ticks = F.lpad(F.lower(F.hex(micros * 10 + F.lit(122192928000000000))), 15, "0")
+    name = F.concat(F.substring(ticks, 8, 8), F.lit("-"), F.substring(ticks, 4, 4), F.lit("-1"), F.substring(ticks, 1, 3), F.lit("-8000-"), F.lpad(F.hex(F.crc32("content")), 12, "0"))
+    return posts(spark, sf_dir).select("username", F.lower(name).alias("creation"), "content")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The physical lines of all document texts."""
     return table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("value"))
