@@ -43,7 +43,7 @@ QUEUES = 1000
 #: Windows whose state is held at once.
 STATES = 512
 #: Words whose ids a task remembers; words that are encoded at once.
-CACHED_WORDS, AT_ONCE = 350_000, 8192
+CACHED_WORDS, AT_ONCE = 250_000, 8192
 
 TOKENS_SCHEMA = "doc_id long, source string, queue string, n long, part long, start long, ids binary"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -181,7 +181,7 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, given = _Words(path), TaskContext.get().partitionId(), {}
         for whole in batches:
-            for b, texts in slices(whole, 3, 2 << 20):
+            for b, texts in slices(whole, 3, 1 << 20):
                 ids = cache.ids(texts)
                 n = [len(x) // 2 for x in ids]
                 starts = []
