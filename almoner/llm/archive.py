@@ -8,7 +8,8 @@ sink, whose line separator is the blank lines that end a record.  Reading follow
 Defined results: a null page is an empty payload; of records with equal payloads of at least ``LEAST`` bytes that with
 the largest page_id is the response and the others are revisits of it, smaller ones are all responses; repeated rows
 with the largest id are responses all; a null page_id is below all others; a null or empty URL becomes ``urn:x-none``,
-and white space in one is percent-encoded; extra columns are ignored; an empty table gives an empty result.
+and white space in one is percent-encoded; a
+header line without an IP address, a date of 4 to 14 digits and a length where its version has them is an error; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,6 +71,19 @@ def arc_start(version: int, filename: str, date: str = DATE) -> bytes:
     return arc_line(version, f"filedesc://{filename}".encode(), b"text/plain", len(body), date=date, filename=filename) + body + b"\n"
 
 
+#: A header line from the IP address on: URL and content type may hold spaces, so address, date and length fix the fields.
+_LINES = {
+    1: re.compile(rb"(?P<url>.*?) (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+|-) (?P<date>[0-9]{4,14}) (?P<mime>.*) (?P<length>[0-9]+)"),
+    2: re.compile(rb"(?P<url>.*?) (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+|-) (?P<date>[0-9]{4,14}) (?P<mime>.*) (?P<status>[0-9]+|-) (?P<sum>\S+) (?P<location>\S+) (?P<offset>[0-9]+|-) (?P<file>\S+) (?P<length>[0-9]+)"),
+}
+
+
+def arc_header(version: int, line: bytes) -> dict[str, str] | None:
+    """The fields of a record's header line by their names in FIELDS; None if it is none."""
+    m = _LINES[version].fullmatch(line)
+    return m and dict(zip(FIELDS[version].split(), (v.decode("utf-8", "replace") for v in m.groups()), strict=True))
+
+
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """Records by declared length; the first, the ``filedesc``, tells the version. Line feeds between records are skipped."""
     at, version = 0, 0
@@ -86,11 +101,9 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
             version = int(data[end + 1 : data.index(b"\n", end + 1)].split()[0])
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version}")
-        names = FIELDS[version].split()
-        values = line.rsplit(b" ", len(names) - 1)  # only the URL may hold spaces, and it comes first
-        if len(values) != len(names):
-            raise ValueError(f"a header line of {len(values)} fields at {at}")
-        f = dict(zip(names, (v.decode("utf-8", "replace") for v in values), strict=True))
+        f = arc_header(version, line)
+        if f is None:
+            raise ValueError(f"no header line of version {version} at {at}")
         length = int(f["Archive-length"])
         block = data[end + 1 : end + 1 + length]
         if len(block) < length:

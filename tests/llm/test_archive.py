@@ -72,3 +72,12 @@ def test_files_are_warc(spark, tmp_path):
     records = [r for f in files for r in archive.parse_warc(gzip.decompress(f.content))]
     assert len(records) == len(ROWS) and all(h["warc-record-id"].startswith("<urn:uuid:") and h["warc-block-digest"].startswith("sha1:") for h, _ in records)
     assert {h["warc-type"] for h, _ in records} == {"response", "revisit"}
+
+
+def test_header_lines_are_split_by_address_date_and_length():
+    one = archive.arc_header(1, b"http://x/a b 1.2.3.4 20100203040506 text/html; charset=x 17")
+    assert one == {"URL": "http://x/a b", "IP-address": "1.2.3.4", "Archive-date": "20100203040506", "Content-type": "text/html; charset=x", "Archive-length": "17"}
+    two = archive.arc_header(2, b"http://x/ ::1 20100203040506 text/html; charset=x 200 - - 5 a.arc 17")
+    assert (two["URL"], two["IP-address"], two["Content-type"], two["Result-code"], two["Archive-length"]) == ("http://x/", "::1", "text/html; charset=x", "200", "17")
+    for bad in (b"http://x/ 20100203040506 text/html 17", b"http://x/ 1.2.3.4 text/html 17", b"http://x/ 1.2.3.4 20100203040506 text/html", b""):
+        assert archive.arc_header(1, bad) is None

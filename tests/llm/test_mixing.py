@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 from almoner.llm import mixing
+from tests.llm.conftest import prose
 
 
 def brute(rows, total=None):
@@ -87,3 +88,11 @@ def test_refines_below_the_first_level(spark, monkeypatch):
 def test_plan_is_native(spark, edge):
     plan = mixing.mix(edge)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_take_keeps_columns_of_any_name(spark):
+    rows = [(i, prose(i, 20), f"s{i % 3}", i, i, i, i, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, full long, threshold long, target long, source_size long, `a.b` long")
+    got = mixing.take(df)
+    assert got.columns == df.columns
+    assert all(tuple(r)[3:] == (r.doc_id,) * 5 for r in got.collect()) and got.count() > 0
