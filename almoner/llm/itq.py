@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almoner.llm.common import small, written
+from almoner.llm.common import sampled, small, written
 from almoner.llm.graph import connected
 
 THRESHOLD = 0.9
@@ -62,7 +62,7 @@ def rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
 
 def plan(rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a substring, so that a bucket of unrelated vectors stays small, and tables for the recall at the threshold."""
-    bits = min(24, max(6, round(math.log2(max(rows, 2))) - 4))
+    bits = min(30, max(6, round(math.log2(max(rows, 2))) - 4))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(4, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
@@ -123,7 +123,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_
     nodes = written(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")).withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     n = nodes.count()
     rate = min(1.0, fit_rows / max(1, n))
-    got = nodes.filter(F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < int(rate * 1e6)).select("embedding").toArrow()
+    got = nodes.filter(sampled("embedding", rate)).select("embedding").toArrow()
     index = fit(np.array(got["embedding"].combine_chunks().flatten()).reshape(-1, dim), n, threshold)
     tables = index.tables
     held = vectors.sparkSession.sparkContext.broadcast(index)
