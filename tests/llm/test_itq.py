@@ -65,19 +65,45 @@ def test_unusable_vectors_and_repeats(spark):
     assert run(spark, [], []) == []
 
 
-def test_recall_at_the_threshold():
+def planted(shift, n=4000, dim=64):
+    """Unit vectors around a common mean of length ``shift`` and their partners at a cosine of 0.905."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(4000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turn = rng.normal(size=x.shape)
-    turn -= (turn * x).sum(1, keepdims=True) * x
-    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
-    y = 0.905 * x + np.sqrt(1 - 0.905**2) * turn
-    index = itq.fit(np.concatenate([x, y]), 8000)
-    a, b = index.keys(x), index.keys(y)
-    assert (a == b).any(1).mean() >= 0.93
-    bits = ((a[:, 0, None] >> np.arange(index.bits)) & 1).mean(0)
-    assert (abs(bits - 0.5) < 0.1).all()
+    x = itq.unit(rng.normal(size=(n, dim)) / np.sqrt(dim) + shift * itq.unit(rng.normal(size=(1, dim))))
+    return x, itq.turned(x, 0.905, 5)
+
+
+def test_recall_at_the_threshold():
+    for shift in (0.0, 0.7):
+        x, y = planted(shift)
+        index = itq.fit(np.concatenate([x, y])[::2], 8000)
+        a, b = index.keys(x), index.keys(y)
+        within = (index.on(x) != index.on(y)).sum(1) <= index.radius
+        assert ((a == b).any(1) & within).mean() >= 0.95
+        bits = ((a[:, 0, None] >> np.arange(index.bits)) & 1).mean(0)
+        assert (abs(bits - 0.5) < 0.1).all()
+
+
+def test_recall_of_the_query_with_a_common_mean(spark):
+    x, y = planted(0.7, 400, 32)
+    vectors = np.concatenate([x, y]).astype(np.float32)
+    unit = itq.unit(vectors.astype(np.float64))
+    want = int((np.triu(unit @ unit.T, 1) >= 0.9).sum())
+    got = sum(r.n_links for r in run(spark, list(range(len(vectors))), vectors.tolist())) / 2
+    assert 0.95 * want <= got <= want
+
+
+def test_candidates_are_the_pairs_within_the_radius():
+    rng = np.random.default_rng(4)
+    keys, side = rng.integers(0, 4, (60, 5)).astype(np.int32), rng.integers(1, 3, 60)
+    for sides in (side, side * 0):
+        got = set(map(tuple, itq._candidates(keys, sides, 2, 3, 2).tolist()))
+        want = set()
+        for i in range(60):
+            for j in range(i + 1, 60):
+                apart = sum(int(a ^ b).bit_count() for a, b in zip(keys[i], keys[j], strict=True))
+                if apart <= 3 and not (keys[i, :2] == keys[j, :2]).any() and (not sides.any() or sides[i] != sides[j]):
+                    want.add((i, j))
+        assert got == want and want
 
 
 def test_components_of_a_long_chain(spark):
