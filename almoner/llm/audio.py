@@ -2,13 +2,14 @@
 
 A payload becomes a WAV file (mono, unsigned 8-bit samples); the file is read back by its RIFF chunks, its samples are
 resampled by a polyphase FIR, framed with overlap, turned into log-mel energies and cut into active segments by energy
-with hysteresis.  Features go out as tensors of one fixed shape (``CLIP_FRAMES`` x ``MELS``, the last one zero-padded),
-each with its time span; ``tensor_type`` is the Arrow type.
+with hysteresis.  Features are tensors of one fixed shape (``CLIP_FRAMES`` x ``MELS``, the last one zero-padded), each with
+its time span.  They are stored as Arrow's fixed-shape tensors: a table of the shared folder holds Arrow streams, each of
+the clips of a few megabytes of media, whose schema carries ``tensor_type``; digests are taken from what is read back.
 
 Defined results: a null text counts as empty; an empty payload becomes 64 zero bytes (silence: one tensor, no segment);
 equal payloads give equal values; repeated rows stay; extra columns are ignored; an empty table gives an empty result.
-A payload is handled in blocks of ``BLOCK`` samples, so a very long one needs no more memory than a short one beyond
-its own bytes.
+A payload is resampled in blocks of ``BLOCK`` samples and transformed 2048 frames at a time; its resampled signal and its
+log-mel frames are held whole, so a worker's memory is a small multiple of its longest payload or of ``CHUNK_BYTES``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, written
+from almoner.llm.common import blobs, discard, slices, written
 
 UNIT = 64
 RATE = 16_000
@@ -40,6 +41,9 @@ OPEN_DB, CLOSE_DB = 9.0, 6.0
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips long, n_segments long"
 
+#: Columns of the stream of files; active holds the active spans' starts and ends in turn.
+FILE_FIELDS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "active": pa.list_(pa.float64())}
+
 
 def tensor_type() -> pa.DataType:
     """The Arrow type of one clip of features."""
@@ -166,42 +170,91 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(store, MEDIA_SCHEMA)
 
 
-def clips(media: DataFrame) -> DataFrame:
-    """Rows (doc_id, clip, start_s, end_s, tensor): the fixed-shape tensors of every media row, in row-major order."""
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unstream(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def to_clips(media: DataFrame) -> DataFrame:
+    """Rows (files, clips) of Arrow streams: what is known of some media rows, and their tensors with spans.
+
+    A row of ``clips`` names its row of ``files`` by number, and its rows are in the order of files and time.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, wav in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tensors, spans, _ = features(from_wav(wav)[0])
-                n = len(tensors)
-                ext = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), CLIP_FRAMES * MELS))
-                yield pa.record_batch([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), ext.storage.cast(pa.list_(pa.float32()))], names=["doc_id", "clip", "start_s", "end_s", "tensor"])
+            for part, wavs in slices(b, 2):
+                files, counts, spans, tensors = [], [], [], []
+                for doc, n, wav in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), wavs, strict=True):
+                    payload, _ = from_wav(wav)
+                    t, s, active = features(payload)
+                    files.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), [x for span in active for x in span]))
+                    counts.append(len(t))
+                    spans.append(s)
+                    tensors.append(t.ravel())
+                span, flat = np.concatenate(spans), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors)), CLIP_FRAMES * MELS)
+                number = [pa.array(np.repeat(np.arange(len(files), dtype=np.int32), counts)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts]))]
+                held = pa.record_batch([*number, pa.array(span[:, 0]), pa.array(span[:, 1]), pa.ExtensionArray.from_storage(tensor_type(), flat)], names=["file", "clip", "start_s", "end_s", "tensor"])
+                about = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*files, strict=True), FILE_FIELDS.values(), strict=True)], names=list(FILE_FIELDS))
+                yield pa.record_batch([pa.array([_stream(about)], pa.binary()), pa.array([_stream(held)], pa.binary())], names=["files", "clips"])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(cut, "files binary, clips binary")
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]]:
+    """Files, clips, tensors (clips x CLIP_FRAMES x MELS) and the first clip of each file, for each row of ``to_clips``."""
+    for b in batches:
+        for f, c in zip(b.column(0), b.column(1), strict=True):
+            files, clip = _unstream(f.as_py()), _unstream(c.as_py())
+            if clip.schema.field("tensor").type != tensor_type():
+                raise ValueError("not a table of these clips")
+            tensors = clip["tensor"].combine_chunks()
+            tensors = (tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors).to_numpy_ndarray()
+            yield files, clip, tensors, np.searchsorted(clip["file"].to_numpy(), np.arange(files.num_rows + 1))
+
+
+def clips(stored: DataFrame) -> DataFrame:
+    """Rows (doc_id, clip, start_s, end_s, tensor): the stored tensors as plain lists in row-major order, which Spark's columns know."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for files, clip, tensors, _ in _stored(batches):
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), CLIP_FRAMES * MELS).cast(pa.list_(pa.float32()))
+            doc = files["doc_id"].take(clip["file"]).combine_chunks()
+            columns = [doc, *(clip[c].combine_chunks() for c in ("clip", "start_s", "end_s")), flat]
+            yield pa.record_batch(columns, names=["doc_id", "clip", "start_s", "end_s", "tensor"])
 
-    return media.select("doc_id", "media").mapInArrow(cut, "doc_id long, clip int, start_s double, end_s double, tensor array<float>")
+    return stored.mapInArrow(read, "doc_id long, clip int, start_s double, end_s double, tensor array<float>")
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """One row per media row with the digests of the payload read back and of its features."""
+def describe(stored: DataFrame) -> DataFrame:
+    """One row per media row with the digests of its payload and of its stored features."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FEATURE_SCHEMA.split(", ")]
-        for b in batches:
-            rows = []
-            for doc, n, wav in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                payload, _ = from_wav(wav)
-                tensors, spans, active = features(payload)
-                frames = tensors.reshape(-1, MELS)
-                digest = hashlib.sha256(np.rint(frames * 100).astype("<i4").tobytes() + np.rint(spans * 1e4).astype("<i8").tobytes()).hexdigest()
+        for files, clip, tensors, first in _stored(batches):
+            spans, extra = np.stack([clip["start_s"].to_numpy(), clip["end_s"].to_numpy()], 1), []
+            for active, lo, hi in zip(files["active"].to_pylist(), first[:-1], first[1:], strict=True):
+                frames = tensors[lo:hi].reshape(-1, MELS)
+                digest = hashlib.sha256(np.rint(frames * 100).astype("<i4").tobytes() + np.rint(spans[lo:hi] * 1e4).astype("<i8").tobytes()).hexdigest()
                 mean = ",".join(f"{v:.2f}" for v in frames.mean(0))
-                feature = f"{len(tensors)}x{CLIP_FRAMES}x{MELS};mean={mean};active={len(active)}:{sum(e - s for s, e in active):.3f}s;sha256={digest}"
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, len(tensors), len(active)))
-            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-            kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                seconds = sum(e - s for s, e in zip(active[::2], active[1::2], strict=True))
+                extra.append((f"{hi - lo}x{CLIP_FRAMES}x{MELS};mean={mean};active={len(active) // 2}:{seconds:.3f}s;sha256={digest}", int(hi - lo), len(active) // 2))
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            columns = [*(files[c].combine_chunks() for c in FILE_FIELDS if c != "active"), *(pa.array(c, k) for c, k in zip(zip(*extra, strict=True), kinds, strict=True))]
+            yield pa.record_batch(columns, names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, FEATURE_SCHEMA)
+    return stored.mapInArrow(read, FEATURE_SCHEMA)
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as media in a table of the shared folder, read it back and describe it."""
-    return describe(written(to_media(docs, id_col, text_col), "media"))
+    """Store every text as media and every medium's tensors in tables of the shared folder, read these back and describe them."""
+    media = written(to_media(docs, id_col, text_col), "media")
+    stored = written(to_clips(media), "clips")
+    discard(media)
+    return describe(stored)

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from almoner.llm import audio
@@ -64,8 +66,50 @@ def test_rows(spark, edge, empty):
 
 def test_tensors(spark, edge):
     media = audio.to_media(edge.filter("doc_id = 8"))
-    rows = audio.clips(media).orderBy("clip").collect()
+    stored = audio.to_clips(media)
+    rows = audio.clips(stored).orderBy("clip").collect()
     payload = audio.from_wav(media.first().media)[0]
     want, spans, _ = audio.features(payload)
     assert np.allclose(np.array([r.tensor for r in rows]).reshape(want.shape), want) and [r.start_s for r in rows] == spans[:, 0].tolist()
-    assert audio.tensor_type().shape == [audio.CLIP_FRAMES, audio.MELS]
+    kind = pa.ipc.open_stream(bytes(stored.first().clips)).schema.field("tensor").type
+    assert kind == audio.tensor_type() and kind.shape == [audio.CLIP_FRAMES, audio.MELS]
+
+
+def brute(samples):
+    """Log-mel frames by direct sums, and the active spans by a state machine."""
+    x = [(v - 128) / 128 for v in samples]
+    taps = audio._bank(audio.UP, audio.DOWN).T.ravel().astype(float)
+    half = audio.TAPS // 2
+    y = [sum(taps[k] * x[i + half - 1 - k] for k in range(len(taps)) if 0 <= i + half - 1 - k < len(x)) for i in range(0, len(x), audio.DOWN)]
+    y += [0.0] * (audio.FRAME - len(y))
+    rate, n, width = audio.RATE // 2, audio.FRAME, audio.MELS
+    mel = [(2595 * math.log10(1 + rate / 2 / 700)) * i / (width + 1) for i in range(width + 2)]
+    edges = [700 * (10 ** (m / 2595) - 1) / rate * n for m in mel]
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    frames = []
+    for at in range(0, len(y) - n + 1, audio.HOP):
+        power = np.abs(wave @ [v * (0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1))) for i, v in enumerate(y[at : at + n])]) ** 2
+        frames.append([math.log(1e-6 + sum(p * max(0, min((k - a) / (b - a), (c - k) / (c - b))) for k, p in enumerate(power))) for a, b, c in zip(edges, edges[1:], edges[2:], strict=False)])
+    db = [10 * math.log10(sum(math.exp(v) for v in f) / width) for f in frames]
+    on, spans = False, []
+    for i, v in enumerate(db):
+        opened, closed = v >= min(db) + audio.OPEN_DB, v < min(db) + audio.CLOSE_DB
+        if opened and not on:
+            spans.append([i, i + 1])
+        on = opened or (on and not closed)
+        if on:
+            spans[-1][1] = i + 1
+    return np.array(frames), [(a * audio.HOP / rate, ((b - 1) * audio.HOP + n) / rate) for a, b in spans]
+
+
+def test_query_equals_brute_force(spark):
+    texts = ["", "short", "Plain prose with some words. " * 60, "a" * 900 + "Zq~\u00e9" * 200 + "a" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in audio.audio_features(docs).collect():
+        frames, spans = brute(audio.pad(texts[r.doc_id].encode()))
+        count = -(-len(frames) // audio.CLIP_FRAMES)
+        padded = np.concatenate([frames, np.zeros((count * audio.CLIP_FRAMES - len(frames), audio.MELS))])
+        shape, mean, active, _ = r.feature.split(";")
+        assert shape == f"{count}x{audio.CLIP_FRAMES}x{audio.MELS}" and r.n_clips == count
+        assert np.allclose([float(v) for v in mean.removeprefix("mean=").split(",")], padded.mean(0), atol=0.02)
+        assert r.n_segments == len(spans) and abs(float(active.split(":")[1][:-1]) - sum(b - a for a, b in spans)) < 0.002
