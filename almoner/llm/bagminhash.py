@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almoner.llm.common import blobs, col, free, slices, small, tidy, written
-from almoner.llm.graph import connected
+from almoner.llm.graph import connected, extended
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -357,15 +357,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = connected(links)
     mixed = _mixed(buckets, labels)
     near = _by_block(mixed.join(nodes.select("node", "sig").hint("merge"), "node"), _best, PAIRS_SCHEMA).filter("a <> b").dropDuplicates()
-    links = links.unionByName(verified(docs, written(near.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs"), similarity))
-    labels = connected(links)
+    labels = extended(labels, verified(docs, written(near.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs"), similarity))
     # texts go only to the rows of blocks whose signatures call for them
     rest = _by_block(_mixed(buckets, labels).join(nodes.select("node", "sig", "bands").hint("merge"), "node"), _with_partner, ROWS_SCHEMA)
     rest = written(rest, "likely-rows")
     texts = _texts(docs, rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
     found = _by_block(rest.join(texts.hint("merge"), "node"), lambda t: _links(t, similarity), PAIRS_SCHEMA)
-    links = links.unionByName(written(found.filter("a <> b").dropDuplicates(), "links"))
-    labels = connected(links)
+    labels = extended(labels, written(found.filter("a <> b").dropDuplicates(), "links"))
     of_print = nodes.select("print", "node").join(labels, nodes.node == labels.id, "left").select("print", F.coalesce("component", "node").alias("class_id"))
     own = sketch.join(of_print.hint("merge"), "print", "left").select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     own = written(own, "own-classes")

@@ -28,3 +28,18 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = stepped.select("id", "component")
         if stepped.filter("was <> component").isEmpty():
             return labels
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components of ``edges`` and of the earlier edges that gave ``labels``, in the form of ``connected``.
+
+    Edges are led over to their ends' components first, so that the rounds run on those that join components only.
+    """
+    a, b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    across = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    across = written(across.filter("a <> b").dropDuplicates(), "edges")
+    if across.isEmpty():
+        return labels
+    joined = connected(across)
+    moved = labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return written(moved.unionByName(joined.join(labels, "id", "left_anti")), "labels")

@@ -1,7 +1,7 @@
 import numpy as np
 
 from almoner.llm import itq
-from almoner.llm.graph import connected
+from almoner.llm.graph import connected, extended
 
 
 def brute(ids, vectors, threshold=0.9):
@@ -110,3 +110,17 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9), (9, 7), (1, 1)]
     got = {r.id: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 7: 3, 9: 3}
+
+
+def test_components_extended_by_more_edges(spark):
+    rng = np.random.default_rng(4)
+    parts = [[tuple(map(int, e)) for e in rng.integers(low, low + 120, (50, 2))] for low in (0, 40, 90)] + [[(1, 1)], []]
+    frames = [spark.createDataFrame(p, "a long, b long") for p in parts]
+    labels = connected(frames[0])
+    for f in frames[1:]:
+        labels = extended(labels, f)
+    whole = connected(spark.createDataFrame(sum(parts, []), "a long, b long"))
+    assert sorted(map(tuple, labels.select("id", "component").collect())) == sorted(map(tuple, whole.select("id", "component").collect()))
+    none = connected(frames[-1])
+    assert extended(none, frames[-1]).isEmpty()
+    assert extended(none, frames[0]).count() == connected(frames[0]).count()
