@@ -43,9 +43,10 @@ def join_donations_projects(
     (a filter of project ids, or True to build it from the kept projects) thins out the donations, or, with
     ``recheck=False``, takes the subject test's place with its false positives.  ``broadcast`` is a request: the projects
     are counted, and over ``broadcast_rows`` the join shuffles.  ``salted`` deals each key over ``salts`` parts of the
-    donations and copies the projects to each, for inner and left joins with keys that hold much of the data.  "" keys
-    match each other.  With ``last_by_column`` only the project of its largest value counts, of those with one id.  A filter
-    built here is sized by its keys; for more keys than can be sent around none is built, as the join is exact without.
+    donations and copies the projects to each, for inner and left joins with keys that hold much of the data; the copies
+    are merge-joined, never broadcast, as Spark's estimate of a side's size leaves copies out.  "" keys match each other.
+    With ``last_by_column`` only the project of its largest value counts, of those with one id.  A filter built here is
+    sized by its keys; for more keys than can be sent around none is built, as the join is exact without.
     """
     if how not in HOW or strategy not in STRATEGIES:
         raise ValueError(f"how is one of {list(HOW)}, strategy one of {STRATEGIES}")
@@ -82,7 +83,7 @@ def join_donations_projects(
         if how not in ("inner", "left"):
             raise ValueError("only an inner or left join can be salted")
         d = d.withColumn("__salt", F.pmod(F.xxhash64("donation_id"), F.lit(salts)).cast("int"))
-        p = p.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        p = p.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
         on = ["project_id", "__salt"]
     joined = d.join(p, on, HOW[how])
     left, right = [c for c in schemas.DONATION_PROJECTION if c != "project_id"], [c for c in schemas.PROJECT_PROJECTION if c != "project_id"]

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almoner.plans.session import broadcast_if_small
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def donations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with its supplier's nation as city and region as state; ids join all four key columns."""
+    """lineitem with its supplier's nation as city and region as state; ids join all four key columns.
+
+    Suppliers are counted and broadcast if few: Spark multiplies the sizes of what they are joined with, and would shuffle lineitem first.
+    """
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
     flag = lambda c: F.when(c, "t").otherwise("f")
-    rows = table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").join(broadcast_if_small(s), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("donation_id"),
         F.col("l_partkey").cast("string").alias("project_id"),

@@ -44,6 +44,15 @@ def test_the_strategy_is_used(sides):
     assert ids(large) == INNER
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_copies_are_never_broadcast(sides, how):
+    """The optimizer takes the projects for small enough to send around before they are copied."""
+    df = joins.join_donations_projects(*sides, how=how, strategy="salted", salts=50)
+    assert ids(df) == (INNER if how == "inner" else sorted([*INNER, ("d3", "")]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_subject_bloom_and_recheck(sides):
     d, p = sides
     exact = ids(joins.join_donations_projects(d, p, subject="science"))
