@@ -1,12 +1,13 @@
 """Language identification by nearest centroids of TF-IDF n-gram vectors, with distance-based rejection.
 
 Texts become L2-normalised TF-IDF vectors of hashed byte bigrams and trigrams (ASCII letters lower-cased, other ASCII
-bytes as spaces).  Document frequencies cover every training text; several spherical k-means centroids for each language
-are fitted on a bounded sample of labelled rows (``fit_rows``, spread evenly over the languages).  A text takes the
-language of the centroid of highest cosine, and is rejected if that cosine is below what the centroid asks of texts of
-its length: the geometric mean of a low quantile of the cosines of the centroid's own pieces of training text and a high
-quantile of those of random letters, both of that length.  Where the two overlap, as in texts of a few letters, nothing
-is rejected.
+bytes as spaces).  Document frequencies, several spherical k-means centroids for each language and the bounds of
+rejection all come from every labelled row: each round of k-means is a pass over the rows that returns one sum per
+centroid and n-gram, in integers, so that the order of rows does not matter.  A text takes the language of the centroid
+of highest cosine, and is rejected if that cosine is below what the centroid asks of texts of its length: the geometric
+mean of a low quantile of the cosines of the pieces of training text nearest to it (one of each text and length) and a
+high quantile of those of random letters, both of that length.  Where the two overlap, as in texts of a few letters,
+nothing is rejected.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; with nothing to learn
 from, every text is ``und``; a tie goes to the first language by code point; repeated rows stay; rows of null language
@@ -17,7 +18,7 @@ any length are used whole.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,22 +26,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almoner.llm.common import blobs, bound, chunks, col, fold, free, tidy
+from almoner.llm.common import blobs, chunks, col, fold, free, tidy
 
 DIM = 4096
-FIT_ROWS = 3000
 CENTROIDS = 4
+#: Rounds of k-means at most, each a pass over the training rows; it ends before if no sum changes.
+ROUNDS = 5
+#: Vectors that a worker holds at once.
+ROWS = 128
+#: Sums of vectors are in units of 1 / SCALE.
+SCALE = 1 << 24
 #: Lengths in n-grams at which cosines are compared with those of random letters; between them the bound is interpolated.
 LENGTHS = (12, 25, 50, 100, 200, 400, 800, 1600, 3200, 6400)
 #: Quantiles of the members' and the random letters' cosines, and the cosines of a centroid and length it takes to have them.
 OWN, CHANCE, ENOUGH = 0.01, 0.99, 30
+#: Strings of random letters of each length, and the parts of 1 to which cosines are rounded for quantiles.
+LETTERS, BINS = 2000, 1000
 
+_LOG = np.log1p(np.arange(1024)).astype(np.float32)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def grams(texts: list[bytes]) -> np.ndarray:
     """documents x DIM counts of hashed bigrams and trigrams within each text."""
-    out = np.zeros((len(texts), DIM), np.float32)
+    out = np.zeros((len(texts), DIM), np.int32)
     ends = np.cumsum([len(t) + 1 for t in texts])
     b = np.frombuffer(b" ".join(texts).translate(_FOLD) + b"   ", np.uint8).astype(np.uint32)
     two = b[:-1] * 256 + b[1:]
@@ -58,32 +67,48 @@ def grams(texts: list[bytes]) -> np.ndarray:
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Sublinear TF times IDF, rows of length 1 (or 0)."""
-    v = np.log1p(counts) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    v = (_LOG[counts] if counts.max(initial=0) < len(_LOG) else np.log1p(counts.astype(np.float32))) * idf
+    return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], 1e-9)
 
 
-def pieces(text: bytes) -> list[tuple[int, bool, bytes]]:
-    """For each length that the text has: its place in LENGTHS, and a piece of the text (False) and random letters (True)."""
+def parts(values: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of ``values`` of a bounded size and at most ROWS."""
+    for lo, hi in chunks(values):
+        for i in range(lo, hi, ROWS):
+            yield i, min(hi, i + ROWS)
+
+
+def pieces(text: bytes) -> list[tuple[int, bytes]]:
+    """For each length that the text has: its place in LENGTHS, and a piece of the text."""
     seed, out = zlib.crc32(text), []
-    letters = np.random.default_rng(seed)
     for i, n in enumerate(LENGTHS):
         if (size := (n + 3) // 2) <= len(text):
             at = seed % (len(text) - size + 1)
-            out += [(i, False, text[at : at + size]), (i, True, letters.integers(97, 123, size, np.uint8).tobytes())]
+            out.append((i, text[at : at + size]))
     return out
 
 
-def bounds(near: np.ndarray, length: np.ndarray, chance: np.ndarray, cos: np.ndarray, centroids: int) -> np.ndarray:
-    """centroids x LENGTHS least cosines.  Too few cosines of one centroid give way to those of all, and a length without any to the next shorter one."""
-    out = np.zeros((centroids, len(LENGTHS)))
+def letters(seed: int) -> list[tuple[int, bytes]]:
+    """A string of random letters for each place in LENGTHS."""
+    rng = np.random.default_rng(seed)
+    return [(i, rng.integers(97, 123, (n + 3) // 2, np.uint8).tobytes()) for i, n in enumerate(LENGTHS)]
+
+
+def quantile(counts: np.ndarray, q: float) -> float:
+    """Of cosines counted by their BINS-th parts."""
+    return float(np.searchsorted(np.cumsum(counts), q * counts.sum())) / BINS
+
+
+def bounds(own: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """centroids x LENGTHS least cosines, of counts by centroid, length and cosine.  Too few cosines of one centroid give way to those of all, and a length without any to the next shorter one."""
+    out = np.zeros(own.shape[:2])
     for i in range(len(LENGTHS)):
-        own, odd = (length == i) & ~chance, (length == i) & chance
-        if own.sum() < ENOUGH:
+        if own[:, i].sum() < ENOUGH:
             out[:, i] = out[:, i - 1] if i else 0
             continue
-        for j in range(centroids):
-            a, b = (cos[which & (near == j)] if (which & (near == j)).sum() >= ENOUGH else cos[which] for which in (own, odd))
-            low, high = np.quantile(a, OWN), np.quantile(b, CHANCE)
+        for j in range(len(own)):
+            a, b = (x[j, i] if x[j, i].sum() >= ENOUGH else x[:, i].sum(0) for x in (own, odd))
+            low, high = quantile(a, OWN), quantile(b, CHANCE)
             out[j, i] = np.sqrt(low * high) if low > high else 0
     return out
 
@@ -121,7 +146,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(DIM + 1, np.int64), 0
         for b in batches:
             values = blobs(b.column(0))
-            for lo, hi in chunks(values):
+            for lo, hi in parts(values):
                 total[:DIM] += (grams(values[lo:hi]) > 0).sum(0)
             n += len(values)
         total[DIM] = n
@@ -135,63 +160,91 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:DIM], int(out[DIM])
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts from the mean's nearest row, then each time the row farthest from those taken."""
-    taken = [int((x @ x.mean(0)).argmax())]
-    while len(taken) < min(k, len(x)):
-        taken.append(int((x @ x[taken].T).max(1).argmin()))
-    c = x[taken]
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        c = np.stack([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return c
-
-
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Model | None:
-    """Learn from the rows of non-null language and text; None if there are none. ``id_col`` only picks the sample."""
-    rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id")).filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    df, n = _document_frequencies(rows.select("text"))
-    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.05
-    each = fit_rows / len(counts)
-    most = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(bound(min(1, each / c))).cast("long"))])[F.col("lang")]
-    sample = rows.filter(F.xxhash64(F.coalesce("id", F.lit(""))) <= most).select("text", "lang")
+def _sums(rows: DataFrame, idf: np.ndarray, languages: list[str], owner: np.ndarray, towards: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row goes to the place of its language (``owner``) whose direction, ``less`` a number, it points to most: the places' sums of vectors in units of 1 / SCALE, and their numbers of rows."""
+    held = rows.sparkSession.sparkContext.broadcast((idf, {k: i for i, k in enumerate(languages)}, owner, towards, less))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, index, owner, towards, less = held.value
+        total = np.zeros((len(owner), DIM + 1), np.int64)
         for b in batches:
-            values = blobs(b.column(0))
-            for lo, hi in chunks(values):
-                counts = grams(values[lo:hi])
-                v = weigh(counts, idf).astype(np.float16)
-                yield pa.record_batch([b.column(1)[lo:hi].cast(pa.string()), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
-
-    got = sample.mapInArrow(vectors, "lang string, v binary").toArrow()
-    if not got.num_rows:  # all languages of one rare text each may miss the sample
-        sample = rows.select("text", "lang").limit(fit_rows)
-        got = sample.mapInArrow(vectors, "lang string, v binary").toArrow()
-    labels = np.array(got["lang"].to_pylist())
-    x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
-    order = np.lexsort((np.asarray(x @ np.arange(1, DIM + 1, dtype=np.float32)), labels))
-    labels, x = labels[order], x[order]
-    languages = sorted(set(labels.tolist()))
-    parts = [_kmeans(x[labels == lang], centroids) for lang in languages]
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    c = np.concatenate(parts)
-
-    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values, lang = blobs(b.column(0)), np.array([index[x] for x in b.column(1).to_pylist()])
+            for lo, hi in parts(values):
+                v = weigh(grams(values[lo:hi]), idf)
+                near = np.where(owner == lang[lo:hi, None], v @ towards.T - less, -np.inf).argmax(1)
+                v = np.rint(v * SCALE).astype(np.int32)
+                for j in np.unique(near):
+                    total[j, :DIM] += v[near == j].sum(0, dtype=np.int64)
+                    total[j, DIM] += (near == j).sum()
+        tidy()
+        place, gram = total.nonzero()
+        yield pa.record_batch([pa.array(place, pa.int32()), pa.array(gram, pa.int32()), pa.array(total[place, gram])], names=["place", "gram", "total"])
+
+    got = rows.mapInArrow(add, "place int, gram int, total long").groupBy("place", "gram").agg(F.sum("total").alias("total")).toArrow()
+    held.destroy()
+    out = np.zeros((len(owner), DIM + 1), np.int64)
+    out[got["place"].to_numpy(), got["gram"].to_numpy()] = got["total"].to_numpy()
+    return out[:, :DIM], out[:, DIM]
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    return (sums / np.maximum(np.linalg.norm(sums.astype(np.float64), axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def _kmeans(rows: DataFrame, idf: np.ndarray, languages: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means of each language's rows: centroids and their languages.  It starts from the rows' largest projection, from their language's mean, on ``k`` random directions."""
+    owner = np.arange(len(languages))
+    sums, n = _sums(rows, idf, languages, owner, np.zeros((len(owner), DIM), np.float32), np.zeros(len(owner)))
+    if k == 1:
+        return _unit(sums), owner
+    towards = np.random.default_rng(0).standard_normal((k, DIM)).astype(np.float32)
+    less = (sums / SCALE / n[:, None]) @ towards.T
+    owner = np.repeat(owner, k)
+    sums, n = _sums(rows, idf, languages, owner, np.tile(towards, (len(languages), 1)), less.ravel())
+    for _ in range(ROUNDS):
+        owner, last = owner[n > 0], sums[n > 0]
+        sums, n = _sums(rows, idf, languages, owner, _unit(last), np.zeros(len(owner)))
+        if np.array_equal(sums, last):
+            break
+    return _unit(sums[n > 0]), owner[n > 0]
+
+
+def _cosines(rows: DataFrame, cut: Callable[[bytes | int], list[tuple[int, bytes]]], idf: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Counts, by nearest centroid, length and rounded cosine, of what ``cut`` makes of each row's only column."""
+    held = rows.sparkSession.sparkContext.broadcast((idf, c))
+    shape = (len(c), len(LENGTHS), BINS + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, c = held.value
+        total = np.zeros(shape, np.int64)
         for b in batches:
-            values = blobs(b.column(0))
+            values = b.column(0).to_pylist() if pa.types.is_integer(b.column(0).type) else blobs(b.column(0))
             for lo in range(0, len(values), 20):
-                if some := [p for t in values[lo : lo + 20] for p in pieces(t)]:
-                    length, chance, texts = zip(*some, strict=True)
+                if some := [p for x in values[lo : lo + 20] for p in cut(x)]:
+                    length, texts = zip(*some, strict=True)
                     cos = weigh(grams(list(texts)), idf) @ c.T
-                    yield pa.record_batch([pa.array(cos.argmax(1), pa.int32()), pa.array(length, pa.int32()), pa.array(chance), pa.array(cos.max(1).astype(np.float64))], names=["near", "length", "chance", "cos"])
+                    np.add.at(total, (cos.argmax(1), np.array(length), np.rint(np.clip(cos.max(1), 0, 1) * BINS).astype(int)), 1)
+        tidy()
+        near, length, cos = total.nonzero()
+        yield pa.record_batch([pa.array(x, pa.int32()) for x in (near, length, cos)] + [pa.array(total[near, length, cos])], names=["near", "length", "cos", "n"])
 
-    seen = sample.mapInArrow(cosines, "near int, length int, chance boolean, cos double").toArrow()
-    least = bounds(*(seen[k].to_numpy() for k in ("near", "length")), seen["chance"].to_numpy().astype(bool), seen["cos"].to_numpy(), len(c))
+    got = rows.mapInArrow(count, "near int, length int, cos int, n long").groupBy("near", "length", "cos").agg(F.sum("n").alias("n")).toArrow()
+    held.destroy()
+    out = np.zeros(shape, np.int64)
+    out[tuple(got[x].to_numpy() for x in ("near", "length", "cos"))] = got["n"].to_numpy()
+    return out
+
+
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", centroids: int = CENTROIDS) -> Model | None:
+    """Learn from all rows of non-null language and text with a letter; None if there are none."""
+    rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    if not languages:
+        return None
+    df, n = _document_frequencies(rows.select("text"))
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
+    c, owner = _kmeans(rows, idf, languages, centroids)
+    least = bounds(_cosines(rows.select("text"), pieces, idf, c), _cosines(train.sparkSession.range(LETTERS), letters, idf, c))
     return Model(languages, owner, c, idf, least)
 
 
@@ -202,7 +255,7 @@ def _judged(docs: DataFrame, model: Model | None, text_col: str) -> tuple[DataFr
     def run(texts: pa.Array, letters: pa.Array) -> pa.Array:
         m, values, ok = held.value, blobs(texts), letters.to_pylist()
         names, scores, out = ["und"] * len(values), [0.0] * len(values), [True] * len(values)
-        for lo, hi in chunks(values) if m else ():
+        for lo, hi in parts(values) if m else ():
             for i, k, s, far in zip(range(lo, hi), *(x.tolist() for x in m.predict(values[lo:hi])), strict=True):
                 if ok[i]:
                     names[i], scores[i], out[i] = m.languages[k], s, far

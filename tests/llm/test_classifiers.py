@@ -40,6 +40,29 @@ def test_language_rejection_and_edges(spark, docs, edge, empty):
     assert langid.fit(empty) is None and {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"} and langid.predict(empty, model).isEmpty()
 
 
+def test_language_model_comes_from_every_row(spark):
+    """Centroids and bounds against all rows at once, and the same for any dealing of them."""
+    rows = [(i, text(lang, i, 6), lang) for i in range(2000) for lang in ("xx", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, centroids=1)
+    v = langid.weigh(langid.grams([t.encode() for _, t, _ in rows]), model.idf).astype(float)
+    for lang, c in zip(model.languages, model.centroids, strict=True):
+        total = v[[x == lang for _, _, x in rows]].sum(0)
+        assert np.allclose(c, total / np.linalg.norm(total), atol=1e-6)
+
+    def counts(some):
+        out = np.zeros((len(model.centroids), len(langid.LENGTHS), langid.BINS + 1), int)
+        cos = langid.weigh(langid.grams([t for _, t in some]), model.idf) @ model.centroids.T
+        np.add.at(out, (cos.argmax(1), [i for i, _ in some], np.rint(cos.max(1) * langid.BINS).astype(int)), 1)
+        return out
+
+    own = counts([p for _, t, _ in rows for p in langid.pieces(t.encode())])
+    odd = counts([p for i in range(langid.LETTERS) for p in langid.letters(i)])
+    assert own[:, 0].sum() == len(rows) and model.least.any() and np.allclose(model.least, langid.bounds(own, odd), atol=2e-3)
+    one, more = (langid.fit(x) for x in (docs.coalesce(1), docs.repartition(7)))
+    assert np.array_equal(one.owner, more.owner) and np.allclose(one.centroids, more.centroids, atol=1e-6)
+
+
 def test_letter_junk_and_unlearned_language_are_rejected(spark):
     """Latin letters of no learned language go; short and long texts of the learned ones stay."""
     learned = {
